@@ -71,3 +71,27 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a batch's texts; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))
     return [t or b"" for t in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
+
+
+def sample_keys(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` distinct keys in the order of their hash; the same ones wherever the rows lie."""
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key)).distinct()
+    return keys.orderBy(F.xxhash64(key), key).limit(bound)
+
+
+def with_columns(df: DataFrame, made: dict[str, str], columns: list[str], make) -> DataFrame:
+    """``df`` with the columns ``made`` (type by name); ``make()`` gives a function from a record batch of ``columns`` to arrays.
+
+    Columns of ``df`` whose names clash with the new ones are replaced.
+    """
+    names = list(made)
+    kept = df.drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for whole in batches:
+            for part in slices(whole, columns[-1]):
+                got = work(pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in columns], columns))
+                yield pa.RecordBatch.from_arrays([*part.columns, *got], [*part.schema.names, *names])
+
+    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*kept.dtypes, *made.items()]))
