@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, packing, pii, token_orc, toxicity
+from . import decontam, media, ngram_join, packing, pii, token_orc, toxicity
 from .common import cut, shared_dir
 
 
@@ -43,6 +43,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tally/orc-{uuid.uuid4().hex}"
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -61,7 +65,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op6_token_orc, op8_audio, op9_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op5_ngram_join, op6_token_orc, op8_audio, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
