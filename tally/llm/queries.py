@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, ngram_join, packing, pii, token_orc, toxicity
+from . import decontam, media, ngram_join, packing, pii, suffix_dedup, token_orc, toxicity
 from .common import cut, shared_dir
 
 
@@ -53,6 +53,11 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.crc32_of_ids(token_orc.read_token_orc(spark, path))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut(media.store(table(spark, sf_dir, "documents")))
     rows = media.payload_features(stored)
@@ -65,7 +70,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op5_ngram_join, op6_token_orc, op8_audio, op9_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op5_ngram_join, op6_token_orc, op7_suffix_dedup, op8_audio, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
