@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, ngram_join, packing, pii, suffix_dedup, token_orc, toxicity
+from . import decontam, line_dedup, media, ngram_join, packing, pii, suffix_dedup, token_orc, toxicity
 from .common import cut, shared_dir
 
 
@@ -69,8 +69,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op5_ngram_join, op6_token_orc, op7_suffix_dedup, op8_audio, op9_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op5_ngram_join, op6_token_orc, op7_suffix_dedup, op8_audio, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
