@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, media, ngram_join, packing, pii, suffix_dedup, token_orc, toxicity
+from . import chat, decontam, line_dedup, media, ngram_join, packing, pii, suffix_dedup, token_orc, toxicity
 from .common import cut, shared_dir
 
 
@@ -43,6 +43,11 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return chat.format_chats(rows, chat.fit(rows)).withColumn("held_out", chat.held_out(F.coalesce("conv_id", F.lit(0))))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op5_ngram_join, op6_token_orc, op7_suffix_dedup, op8_audio, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_pack, op4_chat, op5_ngram_join, op6_token_orc, op7_suffix_dedup, op8_audio, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
