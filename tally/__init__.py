@@ -1,0 +1,7 @@
+"""Tally: append-only tables and double-entry ledgers on Spark."""
+
+from .database import Database
+from .plans.sqlgate import SQLSyntaxError, parse_sql
+from .tuning import BatchPlan, BatchTuner
+
+__all__ = ["BatchPlan", "BatchTuner", "Database", "SQLSyntaxError", "parse_sql"]
