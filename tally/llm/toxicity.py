@@ -8,8 +8,9 @@ saying counts as reported. Their composition is built lazily and remembered. A
 clause's score is the sum of its weights; a document's score is a logistic
 function of its clauses' scores.
 
-Insult stems are learned from labelled rows: prefixes of three to six characters
-whose documents are toxic far more often than others. They and the logistic
+Insult stems are learned from labelled rows: prefixes of three to nine characters
+whose documents are toxic far more often than others, where they stand once or
+where they open several different words. They and the logistic
 weights are fitted on at most ``FIT_ROWS`` labelled rows, taken in the order of
 their id's hash. Every text is then scored whole.
 
@@ -36,6 +37,8 @@ from .common import sample_keys, texts_of, with_columns
 
 #: The bound of the sample of labelled rows, and of learned stems.
 FIT_ROWS, STEMS = 20_000, 2_000
+#: Lengths of stems, and the sign before a stem that counts in documents where it opens several words.
+LENGTHS, SEVERAL = range(3, 10), "+"
 WORD = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -145,20 +148,39 @@ class Reader:
     stems: dict[str, float]
     machine: Composition = field(default_factory=grammar)
     seen: set[str] = field(default_factory=set)
+    #: Words by weight, and words by their stems that count only beside others.
     insults: dict[str, float] = field(default_factory=dict)
+    family: dict[str, list[str]] = field(default_factory=dict)
 
-    def _weight(self, word: str) -> float:
-        return max((self.stems.get(word[:k], 0.0) for k in range(3, 7)), default=0.0)
+    def _learn(self, words: set[str]) -> None:
+        stems = self.stems
+        for w in words:
+            own = [w[:k] for k in LENGTHS if k <= len(w)]
+            if weight := max([stems[p] for p in own if p in stems], default=0.0):
+                self.insults[w] = weight
+            if several := [p for p in own if SEVERAL + p in stems]:
+                self.family[w] = several
+        self.seen |= words
+
+    def weights(self, words: set[str]) -> dict[str, float]:
+        """The insults among a document's words."""
+        self._learn(words - self.seen)
+        out = {w: self.insults[w] for w in words & self.insults.keys()}
+        relatives = words & self.family.keys()
+        if len(relatives) > 1:
+            count = Counter(p for w in relatives for p in self.family[w])
+            for w in relatives:
+                weight = max([self.stems[SEVERAL + p] for p in self.family[w] if count[p] > 1], default=0.0)
+                if weight > out.get(w, 0.0):
+                    out[w] = weight
+        return out
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Sum and largest of the positive clause scores, and how many clauses have one."""
         low = text.lower()
         words = set(WORD.findall(low))
-        for w in words - self.seen:
-            if weight := self._weight(w):
-                self.insults[w] = weight
-        self.seen |= words
-        hits = {w for w in words if w in self.insults} | (words & THREAT_WORDS)
+        insults = self.weights(words)
+        hits = insults.keys() | (words & THREAT_WORDS)
         total = most = count = 0.0
         if hits:
             for clause in CLAUSE.split(low):
@@ -167,8 +189,8 @@ class Reader:
                     continue
                 symbols = []
                 for w in said:
-                    if w in self.insults:
-                        symbols.append((INSULT, self.insults[w]))
+                    if w in insults:
+                        symbols.append((INSULT, insults[w]))
                     else:
                         kind = FUNCTION.get(w, OTHER)
                         symbols.append((kind, 0.5 if kind == THREAT else 0.0))
@@ -177,6 +199,7 @@ class Reader:
         if len(self.seen) > 1_000_000:
             self.seen.clear()
             self.insults.clear()
+            self.family.clear()
         return total, most, count
 
 
@@ -229,7 +252,10 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(texts_of(batch), batch.column(batch.schema.get_field_index("label")).to_pylist(), strict=True):
             words = set(WORD.findall(text.lower()))
-            counts[label].update({w[:k] for k in range(3, 7) for w in words if len(w) >= k})
+            for k in LENGTHS:
+                opened = Counter(w[:k] for w in words if len(w) >= k)
+                counts[label].update(opened.keys())
+                counts[label].update(SEVERAL + p for p, n in opened.items() if n > 1)
         if len(counts[0]) > 300_000:
             yield emit()
     yield emit()
