@@ -24,21 +24,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Folders written by cut() in this process, oldest first.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tally/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a result of ``cut`` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+def mark() -> int:
+    """A place in the list of cuts, for ``drop_cuts_since``."""
+    return len(_written)
+
+
+def drop_cuts_since(spark: SparkSession, place: int, keep: int = 0) -> None:
+    """Delete all cuts made since a mark, but for the last ``keep`` ones; their readers must have run."""
+    gone = _written[place : len(_written) - keep]
+    for folder in gone:
+        delete(spark, folder)
+    del _written[place : len(_written) - keep]
 
 
 def row_key(*cols: str):
