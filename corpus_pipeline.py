@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.llm import decontam, line_dedup, ngram_join, packing, toxicity
-from tally.llm.common import cut
+from tally.llm.common import cut, drop_cuts_since, mark
 from tally.llm.queries import table, vocabulary
 
 
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table of documents on."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, from the table of documents on; what a stage leaves behind goes when the next has run."""
+    docs, begun = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        drop_cuts_since(spark, begun, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
