@@ -12,15 +12,19 @@ from ..operators import aggregate
 from .sqlgate import Query, SQLSyntaxError, parse_sql
 
 
+#: Names of the steps.
+SCAN, JOIN, EQUAL, RANGE, GROUP, PROJECT = "table_scan", "sort_merge_join", "equality_index", "range_index_binary_search", "hash_group_by", "project"
+
+
 def explain(sql: str, spark: SparkSession | None = None) -> list[str]:
     """A query's steps by name: the access path of its filter, its join, grouping and projection."""
     q = parse_sql(sql, spark)
-    steps = [f"table_scan({q.relations[0]})"]
+    steps = [f"{SCAN}({q.relations[0]})"]
     if q.on:
-        steps.append(f"sort_merge_join({', '.join(q.relations)})")
+        steps.append(f"{JOIN}({', '.join(q.relations)})")
     elif q.where:
-        steps.append(f"{'equality_index' if q.where.kind == 'eq' else 'range_index_binary_search'}({q.where.column})")
-    return [*steps, "hash_group_by" if q.group else "project"]
+        steps.append(f"{EQUAL if q.where.kind == 'eq' else RANGE}({q.where.column})")
+    return [*steps, GROUP if q.group else PROJECT]
 
 
 def physical_steps(df: DataFrame) -> list[str]:
