@@ -312,4 +312,4 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     """The documents that score below the threshold, with their own columns."""
     own = docs.withColumnRenamed("toxicity", "__own")
     kept = score(own, fit(docs, labels)).where(F.col("toxicity") < threshold).drop("toxicity")
-    return kept.withColumnRenamed("__own", "toxicity").select(*docs.columns)
+    return kept.withColumnRenamed("__own", "toxicity").select(*[f"`{c}`" for c in docs.columns])
