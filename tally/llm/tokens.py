@@ -1,11 +1,13 @@
 """Token ids by the tokenizers library, with a memo of words.
 
-A byte-level tokenizer never joins characters across a single space that stands
-between two characters that are not white space. Texts are cut there. A piece
-that holds only Latin letters, plain punctuation and single line breaks is cut
-further at the borders of its letter runs, where the tokenizer cuts too. Each
-distinct part is encoded once by the library and ids are put together from the
-memo; they equal those of the whole text.
+A byte-level tokenizer cuts a text at the borders of letter runs and never joins
+characters across a single space between two characters that aren't white space.
+Nor does it join a comma or full stop to a letter or digit before it, nor anything
+across a line break between two such characters. Plain texts, which have no other
+white space and no marks before commas or full stops, are cut at all of these.
+Others are cut at spaces only, and pieces of letters and marks further. Each distinct part is encoded
+once by the library and ids are put together from the memo; they equal those of
+the whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r".,;:!?\"()#%&$*-"
 PLAIN = re.compile(rf"(?:[{LATIN}{MARKS}]+\n)*[{LATIN}{MARKS}]+")
 PART = re.compile(rf"[{LATIN}]+|[{MARKS}]+|\n")
+#: What plain texts are made of, what stands between parts while they are cut, and neighbours that aren't plain.
+WORD = re.compile(r" ?\S+|\n")
+BAR = "\x1f"
+TWINS = ("..", ",,", ".,", ",.", "\n\n", BAR)
 #: How byte-level vocabularies write a leading space.
 SPACE = "Ġ"
 #: Entries of a worker's memos of pieces and of parts; characters of a remembered piece; characters taken at a time.
@@ -47,6 +53,8 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.long: list[str] = []
+        #: Last characters of parts that are neither letters nor digits.
+        self.marks: set[str] = set()
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
@@ -69,7 +77,7 @@ class Encoder:
             at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
             if len(at) == len(some) + 1:
                 whole = ids.tobytes()
-                self.parts.update((x, whole[4 * a : 4 * b]) for x, a, b in zip(some, at, at[1:], strict=False))
+                self.parts.update(zip(some, [whole[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)], strict=True))
             else:
                 self.parts.update(zip(some, self._each(some), strict=True))
 
@@ -99,8 +107,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes, without special tokens."""
         out = []
-        for text in texts:
-            if len(text) <= SEGMENT:
+        for text in self._plain(texts):
+            if isinstance(text, bytes) or len(text) <= SEGMENT:
                 out.append(text)
                 continue
             ids = []
@@ -122,6 +130,38 @@ class Encoder:
         self._forget()
         return out
 
+    def _plain(self, texts: list[str]) -> list[str | bytes]:
+        """Plain texts as ids, others as they are."""
+        cut: list[list[str] | None] = []
+        seen: set[str] = set()
+        for text in texts:
+            if len(text) > SEGMENT or any(t in text for t in TWINS):
+                cut.append(None)
+            else:
+                parts = text.replace(" ", "\x1f ").replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", "\x1f\n\x1f").split(BAR)
+                seen.update(parts)
+                cut.append(parts)
+        memo = self.parts
+        memo[""] = b""
+        missing = [x for x in seen.difference(memo) if WORD.fullmatch(x)]
+        for x in missing:
+            if not x[-1].isalnum() and x[-1] not in ",.\n":
+                self.marks.add(x[-1])
+        self._spaced([x for x in missing if x[0] == " "])
+        bare = [x for x in missing if x[0] != " "]
+        memo.update(zip(bare, self._each(bare), strict=True))
+        known, out = memo.__getitem__, []
+        for text, parts in zip(texts, cut, strict=True):
+            try:
+                out.append(text if parts is None or self._joined(text) else b"".join(map(known, parts)))
+            except KeyError:  # a part that isn't plain
+                out.append(text)
+        return out
+
+    def _joined(self, text: str) -> bool:
+        """Whether a comma or full stop follows a mark, to which the tokenizer joins it."""
+        return any(c in text and (c + "," in text or c + "." in text) for c in self.marks)
+
     def _split(self, text: str, later: bool) -> tuple[str, list[str]]:
         """The first piece, which has no space before it, and the others; a later segment has only others."""
         pieces = CUT.split(text) if odd(text) else text.split(" ")
