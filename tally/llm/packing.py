@@ -33,33 +33,37 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 def difference(sizes: list[int], k: int) -> np.ndarray:
     """The window (0 to k - 1) of each size, by Karmarkar-Karp multiway differencing."""
-    n = len(sizes)
+    order = np.argsort(-np.array(sizes, np.int64), kind="stable")
+    # the larger sizes enter as partial partitions of k sizes each, one to a window; the rest one by one
+    whole = max(0, len(sizes) // k - 1)
+    leaves = [order[i * k : (i + 1) * k][::-1] for i in range(whole)] + [order[i : i + 1] for i in range(whole * k, len(sizes))]
     sums: dict[int, np.ndarray] = {}
     made: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     heap = []
-    for i, size in enumerate(sizes):
+    for i, leaf in enumerate(leaves):
         sums[i] = np.zeros(k, np.int64)
-        sums[i][-1] = size
-        heap.append((-size, i))
+        sums[i][-len(leaf) :] = [sizes[j] for j in leaf]
+        heap.append((int(sums[i][0] - sums[i][-1]), i))
+        sums[i] -= sums[i][0]
     heapq.heapify(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
         both = sums.pop(a) + sums.pop(b)[::-1]
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        node = n + len(made)
-        made.append((a, b, order, k - 1 - order))
+        sort = both.argsort(kind="stable")
+        both = both[sort]
+        node = len(leaves) + len(made)
+        made.append((a, b, sort, k - 1 - sort))
         sums[node] = both - both[0]
-        heapq.heappush(heap, (-int(both[-1] - both[0]), node))
+        heapq.heappush(heap, (int(both[0] - both[-1]), node))
     # from the last merge down: where each slot of a partial partition ends up
-    out = np.zeros(n, np.int64)
+    out = np.zeros(len(sizes), np.int64)
     places: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)} if heap else {}
-    for node in range(n + len(made) - 1, -1, -1):
+    for node in range(len(leaves) + len(made) - 1, -1, -1):
         where = places.pop(node)
-        if node < n:
-            out[node] = where[-1]
+        if node < len(leaves):
+            out[leaves[node]] = where[-len(leaves[node]) :]
             continue
-        a, b, left, right = made[node - n]
+        a, b, left, right = made[node - len(leaves)]
         for child, slots in ((a, left), (b, right)):
             places[child] = np.empty(k, np.int64)
             places[child][slots] = where
