@@ -145,7 +145,7 @@ def test_lines_native_plan(spark, sf_dir):
 
 def test_lines_of_small_docs(spark):
     line = "this line of license text stands in many documents of the corpus and is long enough to be shingled well by anyone who cares"
-    near = line.replace("license", "licence")
+    near = line.replace("cares", "dares")
     docs = [(1, f"first own words here\n{line}\n\nshort"), (2, f"{near}\nsecond own words here\nshort"), (3, line), (4, None), (5, ""), (6, f"  {line.upper()}  \nthird own words here")]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.dedup(df).collect()}
