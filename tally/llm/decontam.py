@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: words are folded to lower case (ASCII and Latin-1),
-numbers, names (capitalised words within a sentence, a run of them as one) and
+numbers, names (words with one capital, in front, within a sentence; a run of them as one) and
 units after numbers become typed placeholders. Windows of ``window`` template
 words are looked up among those of the benchmark. Matches of a document and an
 item are gathered by their offset; the values in matching slots must agree: each
@@ -70,7 +70,10 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return value, value, np.zeros(len(texts) + 1, np.int64)
     first = raw[start]
     number = (first >= 48) & (first <= 57)
-    capital = (low[start] != first) | ((first == 0xC3) & (low[np.minimum(start + 1, len(raw) - 1)] != raw[np.minimum(start + 1, len(raw) - 1)]))
+    # a name has one capital, in front; words all in capitals aren't names, nor are single letters
+    folded = np.concatenate([[0], np.cumsum(low != raw)])
+    ahead = folded[np.minimum(start + 1 + (first == 0xC3), end)] - folded[start]
+    capital = (ahead == 1) & (folded[end] - folded[start] == 1) & (end - start > 1)
     # a word opens a sentence if a full stop or the like stands between it and the word before
     stops = np.concatenate([[0], np.cumsum(_SENTENCE[raw])])
     opens = np.ones(len(start), bool)

@@ -30,6 +30,13 @@ def test_verbatim_changed_and_inconsistent(spark):
     assert got.get((3, 1)) in (None, "reparameterised")
 
 
+def test_capitals_do_not_hide_an_item(spark):
+    plain = words(8, 30)
+    assert set(leaks(spark, [f"So. {plain.upper()}"], [(1, plain)])) == {(0, 1)}
+    t, _, _ = decontam.templates(["we met Ann, I say, at NASA in Étretat"])
+    assert decontam.is_slot(t).tolist() == [False, False, True, False, False, False, False, False, True]
+
+
 def test_slots_must_agree():
     index = decontam.Index([(1, "the box has 5 red and 5 blue balls with 5 more of green ones in all")], 6, 3)
     text = lambda a, b, c: f"the box has {a} red and {b} blue balls with {c} more of green ones in all"
