@@ -18,9 +18,12 @@ removed, as judged on the input; strings never cross documents.
    that still agree are ordered by blind tries. Suffixes that agree in ``width``
    bytes are repeated windows.
 
-An anchor with over ``GROUP`` distinct stretches is dealt to several sorts; each
-then reports a digest for each distinct window, and digests are counted, again
-aggregated before the shuffle. So no group is ever held by one task.
+An anchor with over ``GROUP`` distinct stretches is dealt to several sorts: its
+windows are parted by the anchor's place in them, ``PART`` places together, and by
+the bytes that all windows of a part have in common. Equal windows have both the
+same, so parts are sorted on their own. Where over ``CROWD`` stretches share even
+these, each window is told by its digest, and digests are counted, aggregated
+before the shuffle. So no task ever holds an unbounded group.
 
 Null and empty texts are kept as they are; rows that agree in doc_id and text
 repeat each other; texts shorter than ``width`` keep all. An empty table gives no
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, cut, row_key, slices
 from .wordhash import U, mix, prefix_hash, span_hash
 
-WIDTH, GRAM, SHALLOW, GROUP = 400, 32, 32, 256
+WIDTH, GRAM, SHALLOW, GROUP, PART, CROWD = 400, 32, 32, 256, 16, 50_000
 #: Bytes of a document taken at a time when looking for anchors, and windows sorted at a time.
 PIECE, SORTED = 4 << 20, 1 << 20
 
@@ -187,6 +190,22 @@ def equal_windows(data: bytes, group: np.ndarray, at: np.ndarray, width: int = W
     return out
 
 
+CUT_SCHEMA = "key long, hot boolean, anchor long, whole long, base int, shift int, bytes binary"
+
+
+def _parts(text: bytes, s: dict, width: int) -> Iterator[tuple]:
+    """A stretch's bytes, or those of each of its parts with the hash of what the part's windows share."""
+    first, last, place = s["first"], s["last"], s["place"]
+    if not s["hot"]:
+        yield (s["anchor"], False, s["anchor"], s["whole"], 0, place - first, text[first : last + width])
+        return
+    for low in range((place - last) // PART * PART, place - first + 1, PART):
+        begin, end = max(first, place - low - PART + 1), min(last, place - low)
+        common = text[place - low : place - low - PART + 1 + width]
+        name = hashlib.blake2b(common, digest_size=8, person=low.to_bytes(4, "little"), key=s["anchor"].to_bytes(8, "little", signed=True)).digest()
+        yield (int.from_bytes(name, "little", signed=True), True, s["anchor"], s["whole"], begin - first, place - begin, text[begin : end + width])
+
+
 def _cut_out(width: int):
     """The bytes of stretches from their texts."""
 
@@ -195,95 +214,92 @@ def _cut_out(width: int):
             for part in slices(whole):
                 out = []
                 for text, own in zip(bytes_of(part), part.column(1).to_pylist(), strict=True):
-                    out += [(s["anchor"], s["salt"], s["salts"], s["whole"], s["place"] - s["first"], text[s["first"] : s["last"] + width]) for s in own]
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "salt", "salts", "whole", "shift", "bytes"])
+                    for s in own:
+                        out += _parts(text, s, width)
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "hot", "anchor", "whole", "base", "shift", "bytes"])
 
     return run
 
 
-SORT_SCHEMA = "anchor long, whole long, start int, length int, digest string"
+SORT_SCHEMA = "anchor long, whole long, start int, length int"
 
 
 def _sort(width: int):
-    """Repeated windows of stretches: as ranges, or, for anchors dealt to several sorts, one by one with a digest."""
+    """Ranges of repeated windows of stretches; rows come sorted by key."""
 
     def settle(held: list[tuple]) -> list[tuple]:
-        data = b"".join(h[5] for h in held)
-        begin = np.cumsum([0, *(len(h[5]) for h in held)])
-        windows = np.array([len(h[5]) - width + 1 for h in held])
+        key, anchor, whole, base, shift, parts = zip(*held, strict=True)
+        begin = np.cumsum([0, *map(len, parts)])
+        windows = np.array([len(p) - width + 1 for p in parts])
         owner = np.repeat(np.arange(len(held)), windows)
         own = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        _, group = np.unique(np.rec.fromarrays([np.array([h[0] for h in held]), np.array([h[1] for h in held])]), return_inverse=True)
+        _, group = np.unique(np.array(key), return_inverse=True)
         # only windows with their anchor at one place can be equal
-        shift = np.array([h[4] for h in held])[owner] - own
-        equal = equal_windows(data, group[owner].astype(np.int64) * (2 * width) + shift, begin[owner] + own, width)
-        out = []
-        alone = np.ones(len(owner), bool)
+        place = np.array(shift)[owner] - own
         marked = np.zeros(len(owner), bool)
-        for same in equal:
-            alone[same] = False
-            if held[owner[same[0]]][2] == 1:
-                marked[same] = True
-            else:
-                at = begin[owner[same[0]]] + own[same[0]]
-                name = hashlib.blake2b(data[at : at + width], digest_size=16).hexdigest()
-                out += [(held[owner[i]][0], held[owner[i]][3], int(own[i]), 1, name) for i in same]
-        dealt = np.array([h[2] > 1 for h in held])
-        for i in np.flatnonzero(alone & dealt[owner]).tolist():
-            at = begin[owner[i]] + own[i]
-            out.append((held[owner[i]][0], held[owner[i]][3], int(own[i]), 1, hashlib.blake2b(data[at : at + width], digest_size=16).hexdigest()))
+        for same in equal_windows(b"".join(parts), group[owner].astype(np.int64) * (2 * width) + place, begin[owner] + own, width):
+            marked[same] = True
         # neighbouring windows of one stretch as a range
         hit = np.flatnonzero(marked)
-        if len(hit):
-            fresh = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0)])
-            firsts = np.flatnonzero(fresh)
-            lengths = np.diff(np.concatenate([firsts, [len(hit)]]))
-            out += [(held[owner[i]][0], held[owner[i]][3], int(own[i]), int(n), None) for i, n in zip(hit[firsts].tolist(), lengths.tolist(), strict=True)]
-        return out
+        if not len(hit):
+            return []
+        firsts = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0)]))
+        lengths = np.diff(np.concatenate([firsts, [len(hit)]]))
+        return [(anchor[owner[i]], whole[owner[i]], base[owner[i]] + int(own[i]), int(n)) for i, n in zip(hit[firsts].tolist(), lengths.tolist(), strict=True)]
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "whole", "start", "length", "digest"])
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["anchor", "whole", "start", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, windows, key = [], 0, None
+        held, group, windows = [], [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if row[:2] != key and windows > SORTED:
-                    yield pack(settle(held))
-                    held, windows = [], 0
-                key = row[:2]
-                held.append(row)
-                windows += len(row[5]) - width + 1
+                if group and row[0] != group[0][0]:
+                    if len(group) > 1:  # one alone repeats nothing
+                        held += group
+                        windows += sum(len(g[5]) - width + 1 for g in group)
+                    group = []
+                    if windows > SORTED:
+                        yield pack(settle(held))
+                        held, windows = [], 0
+                group.append(row)
+        held += group if len(group) > 1 else []
         yield pack(settle(held) if held else [])
 
     return run
 
 
+def _told_by_digest(parts: DataFrame, width: int) -> DataFrame:
+    """Repeated windows of parts that are too many for one task."""
+    each = parts.select("anchor", "whole", "base", "shift", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - width)).alias("at"))
+    each = each.select("anchor", "whole", (F.col("base") + F.col("at")).alias("start"), F.concat(F.sha2(F.expr(f"substring(bytes, at + 1, {width})"), 256), F.lit(":"), (F.col("shift") - F.col("at")).cast("string")).alias("digest"))
+    again = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return each.join(again, "digest").select("anchor", "whole", "start", F.lit(1).alias("length"))
+
+
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """row (the key of doc_id and text) and spans: the repeated byte ranges of each row that has some, unmerged."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(row_key("doc_id", "text").alias("row"), "text")
     found = cut(rows.mapInArrow(_anchors(width), "row long, anchor long, whole long, first long, last long, place long"))
     kinds = found.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last", "place")).alias("one"))
     kinds = cut(kinds)
-    shared = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") > 1)
+    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     # equal as a whole
     full = kinds.where(F.col("n") > 1).select("anchor", "whole", F.lit(0).alias("start"), (F.col("one.last") - F.col("one.first") + 1).cast("int").alias("length"))
     # different stretches of one anchor: one of each is sorted
-    mixed = kinds.join(shared.where(F.col("kinds") > 1), "anchor").withColumn("salts", F.ceil(F.col("kinds") / GROUP).cast("int"))
-    mixed = mixed.select("anchor", "whole", F.col("one.row").alias("row"), F.struct("anchor", F.pmod("whole", "salts").cast("int").alias("salt"), "salts", "whole", F.col("one.place").alias("place"), F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("s"))
+    mixed = kinds.join(shared, "anchor").select(F.col("one.row").alias("row"), F.struct("anchor", "whole", (F.col("kinds") > GROUP).alias("hot"), F.col("one.place").alias("place"), F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("s"))
     wanted = mixed.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than the row's own stretches
-    texts = rows.join(wanted, "row").dropDuplicates(["row"]).select("text", "own").mapInArrow(_cut_out(width), "anchor long, salt int, salts int, whole long, shift int, bytes binary")
-    dealt = texts.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    tried = cut(dealt.mapInArrow(_sort(width), SORT_SCHEMA))
-    single = tried.where(F.col("digest").isNotNull())
-    again = single.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    windows = tried.where(F.col("digest").isNull()).drop("digest").unionByName(single.join(again, "digest").select("anchor", "whole", "start", "length"))
+    parts = cut(rows.join(wanted, "row").dropDuplicates(["row"]).select("text", "own").mapInArrow(_cut_out(width), CUT_SCHEMA))
+    crowds = parts.where("hot").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key")
+    few = parts.join(crowds, "key", "left_anti").select("key", "anchor", "whole", "base", "shift", "bytes")
+    sorted_ones = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort(width), SORT_SCHEMA)
+    windows = sorted_ones.unionByName(_told_by_digest(parts.join(crowds, "key", "left_semi"), width))
     ranges = full.unionByName(windows).groupBy("anchor", "whole").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))  # a stretch has few windows
     hits = found.join(ranges, ["anchor", "whole"]).select("row", F.explode("ranges").alias("r"), "first")
     hits = hits.select("row", (F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.start") + F.col("r.length") - 1 + width).alias("end")).distinct()

@@ -48,9 +48,10 @@ def mosaic(seed, n):
     return out
 
 
-@pytest.mark.parametrize("group", [256, 2])
-def test_against_all_windows(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, crowd", [(256, 50_000), (2, 50_000), (2, 3)])
+def test_against_all_windows(spark, monkeypatch, group, crowd):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     texts = list(dict.fromkeys(mosaic(5, 60)))
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     for width in (60, 120):
