@@ -37,6 +37,8 @@ from .common import sample_keys, texts_of, with_columns
 
 #: The bound of the sample of labelled rows, and of learned stems.
 FIT_ROWS, STEMS = 20_000, 2_000
+#: Words that a reader remembers.
+MEMO = 200_000
 #: Lengths of stems, and the sign before a stem that counts in documents where it opens several words.
 LENGTHS, SEVERAL = range(3, 10), "+"
 WORD = re.compile(r"\w+")
@@ -196,7 +198,7 @@ class Reader:
                         symbols.append((kind, 0.5 if kind == THREAT else 0.0))
                 if (score := self.machine.clause(symbols)) > 0:
                     total, most, count = total + score, max(most, score), count + 1
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > MEMO:
             self.seen.clear()
             self.insults.clear()
             self.family.clear()
@@ -256,8 +258,8 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 opened = Counter(w[:k] for w in words if len(w) >= k)
                 counts[label].update(opened.keys())
                 counts[label].update(SEVERAL + p for p, n in opened.items() if n > 1)
-        if len(counts[0]) > 300_000:
-            yield emit()
+            if len(counts[0]) + len(counts[1]) > MEMO:
+                yield emit()
     yield emit()
 
 
