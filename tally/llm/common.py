@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +69,12 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def trim() -> None:
+    """Give memory that earlier work of this process has freed back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text at most, whole rows each."""
     at = batch.schema.get_field_index(text)

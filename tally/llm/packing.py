@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, trim
 from .tokens import Encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -84,6 +84,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
     """Pieces of all documents with their sequence, their place in it and their ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # a reused worker may hold what other stages have freed
         encoder = Encoder.of(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40

@@ -27,10 +27,12 @@ PART = re.compile(rf"[{LATIN}]+|[{MARKS}]+|\n")
 WORD = re.compile(r" ?\S+|\n")
 BAR = "\x1f"
 TWINS = ("..", ",,", ".,", ",.", "\n\n", BAR)
+#: Characters of the parts that outlive a full memo.
+COMMON = 9
 #: How byte-level vocabularies write a leading space.
 SPACE = "Ġ"
 #: Entries of a worker's memos of pieces and of parts; characters of a remembered piece; characters taken at a time.
-PIECES, PARTS, LONGEST, SEGMENT = 500_000, 1_200_000, 60, 1 << 19
+PIECES, PARTS, LONGEST, SEGMENT = 100_000, 700_000, 60, 1 << 19
 
 
 def odd(text: str) -> bool:
@@ -171,8 +173,10 @@ class Encoder:
         """Between batches: long pieces aren't kept, nor more than the bounds."""
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
+        if len(self.parts) > PARTS:  # short parts are the common ones
+            self.parts = {x: ids for x, ids in self.parts.items() if len(x) <= COMMON}
+            if len(self.parts) > PARTS // 2:
+                self.parts.clear()
         for x in self.long:
             self.pieces.pop(x, None)
         self.long.clear()
