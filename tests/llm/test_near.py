@@ -153,6 +153,18 @@ def test_lines_of_small_docs(spark):
     assert got[4][0] is None and got[5][0] == "" and got[6][0] == "third own words here"
 
 
+def test_lines_of_a_large_family(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16))
+    base, docs = [word() for _ in range(17)], []
+    for _ in range(150):  # 18 of 22 shingles shared in a pair, 17 of 23 with all others
+        own = word()
+        docs += [(len(docs) + k, " ".join([*base, own, word(), word()])) for k in range(2)]
+    got = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    gone = brute_lines(docs)
+    assert len(gone) == 150 and {x.doc_id for x in got if x.n_removed} == set(gone)
+
+
 def test_lines_odd_rows(spark):
     odd = odd_docs(spark)
     out = line_dedup.dedup(odd)
