@@ -9,8 +9,14 @@ value of the item stands for one value of the document everywhere. An item whose
 template is covered to ``cover`` at least is a leak: verbatim if all slot values
 are equal too, else re-parameterised.
 
-Windows need ``literals`` words that aren't placeholders. An item shorter than a
-window is one window of its own length. Null and empty texts, of documents or
+Texts are read twice: a word with one capital that opens a sentence is a word the
+first time and a name the second, and the better match of the two is reported.
+A number holds its decimals and groups of thousands.
+
+Windows need ``literals`` words that aren't placeholders. Others are looked up by
+what stood there, as exact copies, and an item with such windows is also found by
+its whole template, if that has ``literals`` words with one at least that is no
+placeholder. An item shorter than a window is one window of its own length. Null and empty texts, of documents or
 items, match nothing; equal rows are reported each; an item given twice counts
 under each of its ids; with an empty benchmark nothing is reported.
 
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
-from .wordhash import U, combine, words
+from .wordhash import BASE, U, combine, mix, words
 
 NUMBER, NAME, UNIT = (U(k) for k in (0xA5A5_0001_0000_0001, 0xA5A5_0002_0000_0003, 0xA5A5_0003_0000_0005))
 #: Units of measure and money.
@@ -58,8 +64,21 @@ _SENTENCE = np.zeros(256, bool)
 _SENTENCE[[ord(c) for c in ".!?\n\r:;\0"]] = True
 
 
-def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template word hashes of all texts, the hashes of what stood there, and where each text's words begin (one more entry at the end)."""
+def _numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which words go on with the number before: decimals, or three digits after a comma."""
+    digit = np.concatenate([(raw >= 48) & (raw <= 57), np.zeros(4, bool)])
+    mark = raw[end[:-1]]
+    three = digit[start[1:] + 1] & digit[start[1:] + 2] & ~digit[start[1:] + 3]
+    out = np.zeros(len(start), bool)
+    out[1:] = number[1:] & number[:-1] & (start[1:] == end[:-1] + 1) & digit[end[:-1] - 1] & ((mark == 46) | ((mark == 44) & three))
+    return out
+
+
+def templates(texts: list[str], openers: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template word hashes of all texts, the hashes of what stood there, and where each text's words begin (one more entry at the end).
+
+    With ``openers`` words that open a sentence can be names.
+    """
     parts = [t.encode("utf-8", "replace") for t in texts]
     bounds = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=bounds[1:])
@@ -78,13 +97,22 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stops = np.concatenate([[0], np.cumsum(_SENTENCE[raw])])
     opens = np.ones(len(start), bool)
     opens[1:] = stops[start[1:]] > stops[end[:-1]]
-    name = capital & ~opens & ~number
+    name = capital & ~number if openers else capital & ~opens & ~number
     unit = np.zeros(len(start), bool)
     after = np.flatnonzero(number[:-1] & ~opens[1:]) + 1
     unit[after] = _UNITS[np.minimum(np.searchsorted(_UNITS, value[after]), len(_UNITS) - 1)] == value[after]
     template = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, value)))
     kept = np.ones(len(start), bool)
-    kept[1:] = ~(name[1:] & name[:-1])
+    kept[1:] = ~(name[1:] & name[:-1] & ~opens[1:])
+    more = _numbers(raw, start, end, number)
+    if more.any():
+        # the value of a number is that of all its parts
+        parts = more | np.append(more[1:], False)
+        heads = np.flatnonzero(~more[parts])
+        place = np.arange(parts.sum()) - np.repeat(heads, np.diff(heads, append=parts.sum()))
+        value = value.copy()
+        value[parts & ~more] = np.add.reduceat(mix(value[parts] + place.astype(np.uint64) * BASE), heads)
+        kept &= ~more
     return template[kept], value[kept], np.searchsorted(start[kept], bounds)
 
 
@@ -92,52 +120,69 @@ def is_slot(template: np.ndarray) -> np.ndarray:
     return (template == NUMBER) | (template == NAME) | (template == UNIT)
 
 
+#: What a window is looked up for: its template, what stood there, or its item's whole template.
+TEMPLATE, RAW, WHOLE = range(3)
+
+
 class Index:
-    """Windows of some items, by length of window."""
+    """Windows of some items, by kind and length of window."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, literals: int):
+    def __init__(self, items: list[tuple[int, str]], window: int, literals: int, openers: bool = False):
         self.ids = [i for i, _ in items]
-        template, value, first = templates([t or "" for _, t in items])
+        template, value, first = templates([t or "" for _, t in items], openers)
         self.templates = [template[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.values = [value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.by_length: dict[int, tuple] = {}
-        rows: dict[int, list] = {}
+        # windows by (what they are looked up for, length)
+        rows: dict[tuple[int, int], list] = {}
         for k, t in enumerate(self.templates):
             if n := min(window, len(t)):
                 plain = np.concatenate([[0], np.cumsum(~is_slot(t))])
-                for p, h in enumerate(combine(t, n).tolist()):
-                    if plain[p + n] - plain[p] >= min(literals, n):
-                        rows.setdefault(n, []).append((h, k, p))
-        for n, found in rows.items():
+                own = plain[n:] - plain[:-n]
+                raw = combine(self.values[k], n).tolist()
+                runs = combine(t, n).tolist()
+                for p, h in enumerate(runs):
+                    rich = own[p] >= min(literals, n)
+                    rows.setdefault((TEMPLATE if rich else RAW, n), []).append((h if rich else raw[p], k, p))
+                if own.min() < min(literals, n) and own.max() and len(t) >= literals:
+                    p = int(own.argmax())
+                    rows.setdefault((WHOLE, n), []).append((runs[p], k, p))
+        self.tables: dict[tuple[int, int], tuple] = {}
+        for key, found in rows.items():
             found.sort()
             hashes = np.array([f[0] for f in found], np.uint64)
             maybe = np.zeros(1 << 20, bool)
             maybe[(hashes & U((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_length[n] = (hashes, np.array([f[1] for f in found]), np.array([f[2] for f in found]), maybe)
+            self.tables[key] = (hashes, np.array([f[1] for f in found]), np.array([f[2] for f in found]), maybe)
 
 
 def _leaks(template: np.ndarray, value: np.ndarray, first: np.ndarray, index: Index, cover: float) -> Iterator[tuple[int, int, int, float, str]]:
     """Text's position, item's position, template words matched, share covered and kind."""
-    hits: dict[tuple[int, int], set[tuple[int, int]]] = {}
-    for n, (hashes, items, places, maybe) in index.by_length.items():
-        runs = combine(template, n)
+    hits: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+    for (kind, n), (hashes, items, places, maybe) in index.tables.items():
+        runs = combine(value if kind == RAW else template, n)
         at = np.flatnonzero(maybe[(runs & U((1 << 20) - 1)).astype(np.int64)])
         low, high = np.searchsorted(hashes, runs[at], "left"), np.searchsorted(hashes, runs[at], "right")
         for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
             text = int(np.searchsorted(first, p, "right")) - 1
             if p + n <= first[text + 1]:
                 for k in range(a, b):
-                    hits.setdefault((text, int(items[k])), set()).update((p - int(places[k]), int(places[k]) + j) for j in range(n))
-    for (text, item), pairs in sorted(hits.items()):
+                    item, offset, places_of = int(items[k]), p - int(places[k]), range(int(places[k]), int(places[k]) + n)
+                    if kind == WHOLE:
+                        whole = index.templates[item]
+                        if offset < first[text] or offset + len(whole) > first[text + 1] or (template[offset : offset + len(whole)] != whole).any():
+                            continue
+                        places_of = range(len(whole))
+                    hits.setdefault((text, item), set()).update((kind, offset, j) for j in places_of)
+    for (text, item), found in sorted(hits.items()):
         size = len(index.templates[item])
-        # offsets from the best covered on, as long as their slots agree with those before
-        by_offset: dict[int, set[int]] = {}
-        for offset, place in pairs:
-            by_offset.setdefault(offset, set()).add(place)
+        # offsets from the best covered on, those of templates first, as long as their slots agree with those before
+        by_offset: dict[tuple[int, int], set[int]] = {}
+        for kind, offset, place in found:
+            by_offset.setdefault((kind, offset), set()).add(place)
         covered: set[int] = set()
         bound: dict[tuple, int] = {}
         same = True
-        for offset, own in sorted(by_offset.items(), key=lambda x: (-len(x[1]), x[0])):
+        for (_, offset), own in sorted(by_offset.items(), key=lambda x: (x[0][0], -len(x[1]), x[0][1])):
             if not own - covered:
                 continue
             slots, clash = {}, False
@@ -172,11 +217,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int
 
 def _search(items: list[tuple[int, str]], window: int, literals: int, cover: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, window, literals)
+        readings = [(o, Index(items, window, literals, o)) for o in (False, True)]
         for whole in batches:
             for part in slices(whole):
                 ids = part.column(0).to_pylist()
-                out = [(ids[t], index.ids[i], n, c, kind) for t, i, n, c, kind in _leaks(*templates(texts_of(part)), index, cover)]
+                texts, best = texts_of(part), {}
+                for openers, index in readings:
+                    for t, i, n, c, kind in _leaks(*templates(texts, openers), index, cover):
+                        got = (kind == "verbatim", c, n, kind)
+                        best[t, i] = max(best.get((t, i), got), got)
+                out = [(ids[t], items[i][0], n, c, kind) for (t, i), (_, c, n, kind) in sorted(best.items())]
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "matched", "cover", "kind"])

@@ -52,6 +52,15 @@ def test_short_items_and_passes(spark):
     assert [r.item_id for r in decontam.leaks(docs, many, pass_rows=15).collect()] == [77]
 
 
+def test_items_of_numbers_and_names(spark):
+    items = [(1, "What is 12 + 7 * 3?"), (2, "Solve: 3x + 12 = 27, 5y - 4 = 11, 8z / 2 = 16"), (3, "Calculate 25 * 48 - 310 / 5 + 17."), (4, "Maria has 5 cats. Peter has 3 dogs. Olga has 9 birds. How many pets?"), (5, "sold for 900 in the town of his birth last spring")]
+    names = items[3][1].replace("Maria", "Ines").replace("Peter", "Hugo").replace("Olga", "Vera")
+    texts = [*(f"{words(k, 20)}. {t}" for k, t in items), names, items[4][1].replace("900", "1,200"), items[4][1].replace("900", "3.5"), "Calculate 26 * 49 - 311 / 6 + 18.", words(9, 60), "in 7 8 9 10 11 12 13 14"]
+    got = leaks(spark, texts, items)
+    assert {k: got.get((k, k + 1)) for k in range(5)} == dict.fromkeys(range(5), "verbatim")
+    assert got[5, 4] == got[6, 5] == got[7, 5] == got[8, 3] == "reparameterised" and len(got) == 9
+
+
 def test_odd_rows(spark):
     odd = odd_docs(spark)
     bench = spark.createDataFrame([(1, words(2, 300)), (2, None)], "item_id long, text string")
