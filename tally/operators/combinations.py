@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _pairs(keys: DataFrame, blocks: int) -> DataFrame:
-    """x < y of all distinct keys, dealt by pairs of blocks so that no side is broadcast."""
+def _pairs(keys: DataFrame, blocks: int, most: int | None = None) -> DataFrame:
+    """x < y of all distinct keys, x no more than ``most`` if given, dealt by pairs of blocks so that no side is broadcast."""
     own = keys.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = own.select(F.col("k").alias("x"), F.col("own").alias("i"), F.explode(every).alias("j"))
+    low = own if most is None else own.where(F.col("k") <= most)
+    left = low.select(F.col("k").alias("x"), F.col("own").alias("i"), F.explode(every).alias("j"))
     right = own.select(F.col("k").alias("y"), F.explode(every).alias("i"), F.col("own").alias("j"))
     return left.join(right, ["i", "j"]).where(F.col("x") < F.col("y")).select("x", "y")
 
@@ -20,10 +21,11 @@ def combinations(df: DataFrame, column: str, target: int, arity: int = 3, blocks
     if arity not in (3, 4):
         raise ValueError("arity is 3 or 4")
     keys = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").cast("long").alias("k")).distinct()
-    pairs = _pairs(keys, blocks)
     if arity == 3:
-        some = pairs.withColumn("k", F.lit(target) - F.col("x") - F.col("y")).where(F.col("k") > F.col("y"))
+        # three ascending keys: the least is at most a third of the target, less one
+        some = _pairs(keys, blocks, target // 3 - 1).withColumn("k", F.lit(target) - F.col("x") - F.col("y")).where(F.col("k") > F.col("y"))
         return some.join(keys, "k").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("k").alias("c"))
+    pairs = _pairs(keys, blocks)
     low = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), (F.lit(target) - F.col("x") - F.col("y")).alias("s"))
     high = pairs.select(F.col("x").alias("c"), F.col("y").alias("d"), (F.col("x") + F.col("y")).alias("s"))
     return low.join(high, "s").where(F.col("c") > F.col("b")).select("a", "b", "c", "d")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.functions.digest import table_digest
+from tally import queries
 from tally.operators import aggregate, combinations, filters, joins, positions, posting
 from tally.schema import POSTINGS_IN, conform
 from tally.tuning import BatchTuner
@@ -141,3 +142,11 @@ def test_digest_ignores_order(spark, sales):
     a, b = table_digest(sales).first(), table_digest(sales.orderBy(F.desc("amount")).repartition(3)).first()
     assert a == b and a["rows"] == 4
     assert table_digest(sales.limit(3)).first() != a
+
+
+def test_suspicious_keys_over_the_target(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").limit(4).collect()
+    made = [{**r.asDict(), "o_custkey": k} for r, k in zip(orders, (-50, 10, 100, 19), strict=True)]
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    spark.createDataFrame([tuple(m[c] for c in schema.names) for m in made], schema).write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(queries.validate_suspicious(spark, str(tmp_path))) == [(-50, 10, 100)]
