@@ -1,6 +1,7 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -106,17 +107,17 @@ def test_join_query(spark, sf_dir):
 
 
 def brute_lines(docs):
-    """The places of lines that go, by doc_id; docs are (doc_id, text) with distinct ids."""
-    lines = [(i, p, x.strip(" ").lower()) for i, t in docs for p, x in enumerate((t or "").split("\n"))]
-    lines = sorted(x for x in lines if len(x[2]) >= 15)
-    sets = {x: {m[1] for m in re.finditer(r"(?s)(?:^|\s)(?=(.{15}))", x)} for *_, x in lines}
+    """The places of lines that go, by doc_id; docs are (doc_id, text) with distinct ids. All pairs that share a string of nine characters are compared."""
+    lines = sorted((i, p, x.strip(" ").lower()) for i, t in docs for p, x in enumerate((t or "").split("\n")) if x.strip(" "))
+    sets = {x: {x[k : k + 9] for k in range(max(1, len(x) - 8))} for *_, x in lines}
     texts, forest = list(sets), Forest(len(sets))
     post = defaultdict(list)
     for k, x in enumerate(texts):
         for s in sets[x]:
             post[s].append(k)
-    for i, j in {(i, j) for own in post.values() for i in own for j in own if i < j}:
-        if len(sets[texts[i]] & sets[texts[j]]) >= 0.8 * len(sets[texts[i]] | sets[texts[j]]):
+    shared = Counter(pair for own in post.values() for pair in combinations(own, 2))
+    for (i, j), n in shared.items():
+        if 5 * n >= 4 * (len(sets[texts[i]]) + len(sets[texts[j]]) - n):
             forest.up[forest.find(i)] = forest.find(j)
     seen, gone, place = set(), defaultdict(list), {x: k for k, x in enumerate(texts)}
     for i, p, x in lines:
@@ -145,24 +146,40 @@ def test_lines_native_plan(spark, sf_dir):
 
 def test_lines_of_small_docs(spark):
     line = "this line of license text stands in many documents of the corpus and is long enough to be shingled well by anyone who cares"
-    near = line.replace("cares", "dares")
+    near = line.replace("license", "licence")
     docs = [(1, f"first own words here\n{line}\n\nshort"), (2, f"{near}\nsecond own words here\nshort"), (3, line), (4, None), (5, ""), (6, f"  {line.upper()}  \nthird own words here")]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.dedup(df).collect()}
-    assert got[1] == (docs[0][1], len(docs[0][1])) and got[2] == ("second own words here\nshort", 27) and 3 not in got
+    assert got[1] == (docs[0][1], len(docs[0][1])) and got[2] == ("second own words here", 21) and 3 not in got
     assert got[4][0] is None and got[5][0] == "" and got[6][0] == "third own words here"
 
 
-def test_lines_of_a_large_family(spark):
+def test_unlike_lines_stay(spark):
+    texts = [
+        "Total amount: $ 100", "Total amount: $ 999", "https://example.org/alpha-and-omega", "https://example.org/completely-different-path", "the price of item is 100", "the price of item is 250",
+        "これは日本語の長い文章の例であり、最初の部分は同じです。", "これは日本語の長い文章の例であり、終わりがまったく違うものになる。", "iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAA", "iVBORw0KGgoAAAANbbbcccdddeeefffggghhhiiijjjkkklll",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in line_dedup.report(docs).collect()] == [0] * len(texts)
+
+
+def test_short_and_blank_lines(spark):
+    docs = spark.createDataFrame([(1, "ok\n\nfine\n  "), (2, "OK\n\nfind"), (3, " fine ")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.report(docs).collect()} == {1: "", 2: "0", 3: "0"}
+
+
+@pytest.mark.parametrize("hot, block", [(line_dedup.HOT, line_dedup.BLOCK), (1, 16)])
+def test_lines_of_a_large_family(spark, hot, block):
     r = random.Random(3)
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16))
-    base, docs = [word() for _ in range(17)], []
-    for _ in range(150):  # 18 of 22 shingles shared in a pair, 17 of 23 with all others
-        own = word()
-        docs += [(len(docs) + k, " ".join([*base, own, word(), word()])) for k in range(2)]
-    got = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base, docs = word(100), []
+    for _ in range(150):  # a pair differs in its last two letters, families in twenty before them
+        own = word(22)
+        docs += [(len(docs) + k, base + own + word(2)) for k in range(2)]
+    docs += [(1000 + k, word(120)) for k in range(50)]
+    got = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot, block=block).collect()
     gone = brute_lines(docs)
-    assert len(gone) == 150 and {x.doc_id for x in got if x.n_removed} == set(gone)
+    assert len(gone) == 150 and {x.doc_id for x in got} == set(gone)
 
 
 def test_lines_odd_rows(spark):
