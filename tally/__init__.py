@@ -2,6 +2,6 @@
 
 from .database import Database
 from .plans.sqlgate import SQLSyntaxError, parse_sql
-from .tuning import BatchPlan, BatchTuner
+from .tuning import plan_batches
 
-__all__ = ["BatchPlan", "BatchTuner", "Database", "SQLSyntaxError", "parse_sql"]
+__all__ = ["plan_batches", "Database", "SQLSyntaxError", "parse_sql"]

@@ -10,7 +10,7 @@ from ..schema import require
 
 def exact_sum(column: str, scale: int = 2) -> Column:
     """A double sum of decimals, which doesn't depend on the order of rows."""
-    return F.sum(F.col(f"`{column}`").cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(F.col(f"`{column}`").cast(f"decimal(38,{scale})")).cast("double")
 
 
 def group_by(df: DataFrame, key: str, value: str, scale: int | None = None) -> DataFrame:

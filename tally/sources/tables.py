@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,38 @@ def register(spark: SparkSession, folder: str, *names: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records of a JSON log. A last line without its end is left out; any other malformed line fails the read."""
+    """Records of a JSON log, one object a line.
+
+    A file's last line counts only if it has its line end: an append that broke off is
+    left out, whatever it holds. Any other line that is no object of the schema, blank
+    ones included, fails the read.
+    """
     marked = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    parsed = lines.select("value", F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"))
-    bad = F.col("r.__bad").isNotNull()
-    whole = parsed.where(~bad | F.trim("value").endswith("}"))  # a torn record lacks its end
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80)))).otherwise(F.lit(True))
-    return whole.where(checked).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    # with a line end each, the lines of a broken file would be a byte longer than the file
+    torn = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.max("at").alias("at")).where(F.col("bytes") > F.col("size")).select("file", "at", F.lit(True).alias("torn"))
+    parsed = lines.join(torn, ["file", "at"], "left").select("value", "torn", F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r.__bad").isNotNull() | (F.length(F.trim("value")) == 0)
+    checked = F.when(F.col("torn"), F.lit(False)).when(bad, F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80)))).otherwise(F.lit(True))
+    return parsed.where(checked).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where all runs in one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tally-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what depends on how rows lie is then fixed."""
+    at = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

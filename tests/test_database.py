@@ -126,6 +126,24 @@ def test_log_leaves_out_a_torn_end(spark, tmp_path):
         read_log(spark, str(tmp_path / "bad.jsonl"), t).collect()
 
 
+@pytest.mark.parametrize("text, want", [
+    ('{"key": 1, "value": 2}\n{"key": 2, "value": 3}', [(1, 2)]), ('{"key": 1, "value": 2}\n{"key": 2, "val": {}', [(1, 2)]), ("", []), ('{"key": 1', []),
+    ('{"key": 1, "value": 2}\n{"key": 2, "val\n{"key": 3, "value": 4}\n', None), ('{"key": 1, "value": 2}\n\n', None), ("[1]\n", None),
+])
+def test_only_a_line_without_its_end_is_left_out(spark, tmp_path, text, want):
+    from pyspark.sql.types import StructType
+
+    t = StructType.fromDDL("key long, value long")
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text(text)
+    (tmp_path / "log" / "b.jsonl").write_text('{"key": 9, "value": 9}\n')
+    if want is None:
+        with pytest.raises(Exception, match="malformed"):
+            read_log(spark, str(tmp_path / "log"), t).collect()
+    else:
+        assert rows(read_log(spark, str(tmp_path / "log"), t)) == sorted([*want, (9, 9)])
+
+
 def test_command_line(spark, tmp_path, capsys):
     at = ["--data", str(tmp_path / "db")]
     cli.main([*at, "insert", '{"key": 1, "amount": 5}'])

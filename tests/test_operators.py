@@ -5,7 +5,8 @@ from tally.functions.digest import table_digest
 from tally import queries
 from tally.operators import aggregate, combinations, filters, joins, positions, posting
 from tally.schema import POSTINGS_IN, conform
-from tally.tuning import BatchTuner
+from tally import tuning
+from tally.tuning import plan_batches
 
 
 @pytest.fixture(scope="module")
@@ -70,16 +71,16 @@ def test_fetch_keeps_the_order(spark):
         joins.fetch_rows(df, [11])
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 7])
-def test_prefix_sums(spark, buckets):
+@pytest.mark.parametrize("ranges", [1, 2, 7])
+def test_prefix_sums(spark, ranges):
     values = [((k * 37) % 101, None if k % 9 == 0 else k / 4) for k in range(100)]
     df = spark.createDataFrame(values, "at long, v double")
     total, want = 0.0, {}
     for n, (at, v) in enumerate(sorted(values)):
         total += v or 0.0
         want[at] = (n, total)
-    sums = {r["at"]: r["prefix_sum"] for r in positions.prefix_sum(df, "at", "v", scale=2, buckets=buckets).collect()}
-    ids = {r["at"]: r["row_id"] for r in positions.with_row_id(df, "at", buckets=buckets).collect()}
+    sums = {r["at"]: r["prefix_sum"] for r in positions.prefix_sum(df, "at", "v", ranges=ranges).collect()}
+    ids = {r["at"]: r["row_id"] for r in positions.with_row_id(df, "at", ranges=ranges).collect()}
     assert {k: (ids[k], sums[k]) for k in sums} == want
 
 
@@ -87,6 +88,25 @@ def test_prefix_sum_of_nothing(spark):
     assert positions.prefix_sum(spark.createDataFrame([], "at long, v double"), "at", "v").count() == 0
 
 
+def test_sums_keep_their_decimals(spark):
+    df = spark.createDataFrame([(k, 0.125) for k in range(8)] + [(8, 1e17)], "row_id long, v double")
+    got = [r[0] for r in positions.prefix_sum(df, "row_id", "v").orderBy("row_id").select("prefix_sum").collect()]
+    assert got == [0.125 * k for k in range(1, 9)] + [1e17 + 1.0]
+    assert positions.PrefixSums(df, "v").range_sum(0, 8) == 1.0 and positions.PrefixSums(df, "v").range_avg(0, 4) == 0.125
+    exact = df.where("row_id < 3").select("row_id", F.lit("0.1").cast("decimal(5,1)").alias("v"))
+    assert [r[0] for r in positions.prefix_sum(exact, "row_id", "v").orderBy("row_id").select("prefix_sum").collect()] == [0.1, 0.2, 0.3]
+
+
+def test_ties_and_nulls_have_a_place(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), *((5, float(k)) for k in range(60)), (7, 4.0)], "at long, v double")
+    got = positions.with_row_id(df, "at", ranges=5).orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(63)) and [r["at"] for r in got] == [None] * 2 + [5] * 60 + [7]
+    again = positions.with_row_id(df.repartition(3), "at", ranges=2).orderBy("row_id").collect()
+    assert got == again
+    sums = positions.prefix_sum(df, "at", "v", ranges=3).orderBy("prefix_sum").collect()
+    assert sums[1].prefix_sum == 3.0 and sums[-1].prefix_sum == 3.0 + sum(range(60)) + 4.0
+
+
 def test_range_errors(spark):
     df = spark.createDataFrame([(0, 10), (1, 5), (2, 20), (3, 7)], "row_id long, amount long")
     sums = positions.PrefixSums(df, "amount")
@@ -126,16 +146,16 @@ def test_columns_must_agree(spark, sales):
         conform(sales.withColumn("more", F.lit(1)), sales.columns)
 
 
-def test_batches():
-    plan = BatchTuner(row_bytes=100, fixed_batch_bytes=1000, memory_budget_bytes=5500).tune(1000)
-    assert (plan.batch_size, plan.estimated_peak_bytes, plan.batch_count) == (45, 5500, 23)
-    plan = BatchTuner(row_bytes=128, memory_budget_bytes=16384).tune(1000)
-    assert (plan.batch_size, plan.estimated_peak_bytes, plan.estimated_cost) == (96, 16384, 21.0)
-    with pytest.raises(ValueError):
-        BatchTuner(row_bytes=100, memory_budget_bytes=99).tune(1)
-    for bad in (dict(total_rows=0), dict(total_rows=5, maximum_batch_size=0)):
+def test_batches(spark):
+    assert plan_batches(1000, 100, 5500, batch_bytes=1000)[:3] == (45, 23, 5500)
+    assert tuple(plan_batches(1000, 128, 16384)) == (96, 11, 16384, 21.0)
+    for bad in ((1, 100, 99), (0, 1, 9999), (5, 1, 9999, 0)):
         with pytest.raises(ValueError):
-            BatchTuner(row_bytes=1, memory_budget_bytes=9999).tune(**bad)
+            plan_batches(*bad[:3], most=bad[3] if len(bad) > 3 else None)
+    df = spark.createDataFrame([(k, "x" * k) for k in range(5)], "k long, s string")
+    assert tuple(tuning.measure(df)) == (5, 26)
+    assert tuning.writer_options(df, 4096 + 53) == {"maxRecordsPerFile": "2"} and tuning.writer_options(df.limit(0)) == {}
+    assert tuning.task_memory(spark) > 1 << 20
 
 
 def test_digest_ignores_order(spark, sales):
