@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,15 @@ def _pairs(keys: DataFrame, blocks: int, most: int | None = None) -> DataFrame:
     return left.join(right, ["i", "j"]).where(F.col("x") < F.col("y")).select("x", "y")
 
 
-def combinations(df: DataFrame, column: str, target: int, arity: int = 3, blocks: int = 4) -> DataFrame:
-    """a < b < c (< d) of the distinct keys that add up to the target; ValueError for other arities."""
+def combinations(df: DataFrame, column: str, target: int, arity: int = 3, blocks: int | None = None) -> DataFrame:
+    """a < b < c (< d) of the distinct keys that add up to the target; ValueError for other arities.
+
+    All pairs of keys are made, in blocks x blocks parts; quadruples shuffle every pair
+    by its sum, of n distinct keys n * n / 2, which the problem itself asks for.
+    """
     if arity not in (3, 4):
         raise ValueError("arity is 3 or 4")
+    blocks = blocks or max(4, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1)
     keys = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").cast("long").alias("k")).distinct()
     if arity == 3:
         # three ascending keys: the least is at most a third of the target, less one

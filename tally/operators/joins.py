@@ -27,13 +27,22 @@ def sort_merge_join(left: DataFrame, right: DataFrame, left_column: str, right_c
     return equi_join(left, right, left_column, right_column, "merge").orderBy(F.col(f"`left.{left_column}`"))
 
 
+#: Ids up to which they are pushed to the scan as a list.
+LISTED = 1000
+
+
 def fetch_rows(df: DataFrame, ids: list[int], row_id: str = "row_id") -> DataFrame:
-    """Rows by their ids in the order asked for, repeats included; IndexError for an id that isn't there."""
-    spark = df.sparkSession
+    """Rows by their ids in the order asked for, repeats included; the read fails with an index error for an id that isn't there.
+
+    Up to ``LISTED`` ids reach the scan as a filter; more are joined.
+    """
     if not ids:
         return df.limit(0)
-    asked = spark.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "__at long, __id long")
-    found = df.where(F.col(row_id).isin(sorted(set(ids))))  # pushed to the scan
-    if found.select(row_id).distinct().count() < len(set(ids)):
+    asked = df.sparkSession.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "__at long, __id long")
+    if len(set(ids)) <= LISTED:
+        df = df.where(F.col(row_id).isin(sorted(set(ids))))
+        if df.select(row_id).distinct().count() < len(set(ids)):
+            raise IndexError("row id out of range")
+    elif df.join(asked.select("__id").distinct(), F.col("__id") == F.col(row_id), "left_semi").select(row_id).distinct().count() < len(set(ids)):
         raise IndexError("row id out of range")
-    return asked.join(found, F.col("__id") == F.col(row_id)).orderBy("__at").drop("__at", "__id")
+    return asked.join(df, F.col("__id") == F.col(row_id)).orderBy("__at").drop("__at", "__id")

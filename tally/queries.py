@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tuning
+from .database import Database
 from .functions.digest import table_digest
 from .operators import aggregate, combinations, filters, joins, positions, posting
 from .plans import service
-from .sources.tables import read_parquet
-from .streaming.ingest import ingest_postings, read_ledger
+from .sources.tables import read_log, read_parquet, shared_dir
+from .streaming.ingest import ingest_postings, ingest_rows, json_stream, read_ledger
 
 DECIMAL_SUM = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
 
@@ -149,7 +150,7 @@ def self_join(spark, d):
 
 
 def prefix_sum(spark, d):
-    return positions.prefix_sum(table(spark, d, "events").select("event_id", "value"), "event_id", "value").select("event_id", "prefix_sum")
+    return positions.prefix_sum(table(spark, d, "events").select("event_id", "value"), "event_id", "value", scale=2).select("event_id", "prefix_sum")
 
 
 def row_ids(spark, d):
@@ -158,7 +159,27 @@ def row_ids(spark, d):
 
 def range_sum_avg(spark, d):
     numbered = positions.with_row_id(table(spark, d, "events").select("event_id", "value"), "event_id")
-    return positions.range_total(numbered, "value", 100, 600)
+    return positions.range_total(numbered, "value", 100, 600, scale=2)
+
+
+def _rated(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 0.0625).alias("rate"))
+
+
+def prefix_sum_fine(spark, d):
+    """Prefix sums of values of many decimals, exact to eight."""
+    return positions.prefix_sum(_rated(spark, d), "o_orderkey", "rate", scale=8).select("o_orderkey", "prefix_sum")
+
+
+def prefix_sum_double(spark, d):
+    """Prefix sums of doubles as they are; rounded, since the last bits depend on the order of additions."""
+    found = positions.prefix_sum(table(spark, d, "events").select("event_id", (F.col("value") / 7).alias("part")), "event_id", "part")
+    return found.select("event_id", F.round("prefix_sum", 3).alias("prefix_sum"))
+
+
+def range_sum_double(spark, d):
+    numbered = positions.with_row_id(_rated(spark, d), "o_orderkey")
+    return positions.range_total(numbered, "rate", 50, 5000).select(F.round("range_sum", 3).alias("range_sum"), F.round("range_avg", 6).alias("range_avg"))
 
 
 def three_sum(spark, d):
@@ -222,12 +243,92 @@ def explain_steps(spark, d):
 
 
 def state_digest(spark, d):
-    return table_digest(table(spark, d, "nation")).select("rows")
+    """Count and digest of a table, as one answer."""
+    return table_digest(table(spark, d, "nation"))
+
+
+def _database(spark: SparkSession) -> Database:
+    return Database(spark, f"{shared_dir(spark)}/database-{uuid.uuid4().hex}")
+
+
+def insert_rows(spark, d):
+    """Rows put in one at a time, read back."""
+    db = _database(spark)
+    for r in table(spark, d, "region").select("r_regionkey", "r_name").collect():  # a region each
+        db.insert(r.asDict())
+    return db.rows()
+
+
+def bulk_insert(spark, d):
+    """Two bulk inserts, read back in a database opened anew, with the positions of rows."""
+    db = _database(spark)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    db.bulk_insert(orders.where("o_custkey % 2 = 0"))
+    db.bulk_insert(orders.where("o_custkey % 2 = 1"))
+    again = Database(spark, db.path)
+    return again.table.rows(with_id=True).select("o_orderkey", "o_custkey", "o_totalprice", (F.col("row_id") < again.filter_between("o_orderkey", 0, 1 << 60).where("o_custkey % 2 = 0").count()).alias("first"))
+
+
+def read_column(spark, d):
+    db = _database(spark)
+    db.bulk_insert(table(spark, d, "customer").select("c_custkey", "c_name"))
+    return db.read_column("c_name")
+
+
+def recovery(spark, d):
+    """Postings booked in two databases opened one after the other on one folder; those known already change nothing."""
+    db, rows = _database(spark), _postings(table(spark, d, "orders"))
+    db.post(rows.where("o_orderkey % 3 != 0"), "o_orderkey")
+    again = Database(spark, db.path)
+    again.post(rows.withColumn("amount", F.when(F.col("o_orderkey") % 3 == 0, F.col("amount")).otherwise(F.col("amount") + 1)), "o_orderkey")
+    return Database(spark, db.path).ledger_entries()
+
+
+def wal_records(spark, d):
+    """A log of orders in JSON lines, of which one file ends in a record without its line end."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    spark.range(1).select(F.lit('{"o_orderkey":-1,"o_custkey":1}\n{"o_orderkey":-2,"o_custkey":2}').alias("value")).write.mode("append").option("lineSep", " ").text(path)
+    return read_log(spark, path, rows.schema)
+
+
+def row_stream(spark, d):
+    """Rows of JSON files as a stream, appended to a table."""
+    base = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    rows.write.json(f"{base}/in")
+    ingest_rows(json_stream(spark, f"{base}/in", rows.schema), f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
+def batch_plan(spark, d):
+    """Batches of the published size: 1,000 rows of 128 bytes in 16 KiB."""
+    return spark.createDataFrame([tuple(tuning.plan_batches(1000, 128, 16384))], "rows long, batches long, peak_bytes long, cost double")
+
+
+def row_width(spark, d):
+    size = tuning.measure(table(spark, d, "nation").select("n_nationkey", "n_name"))
+    return spark.createDataFrame([tuple(size)], "rows long, row_bytes long")
+
+
+def sql_select_all(spark, d):
+    return service.execute(f"SELECT * FROM {_view(spark, d, 'nation')}")
+
+
+def sql_group_avg(spark, d):
+    return service.execute(f"SELECT l_returnflag, AVG(l_linenumber) AS mean FROM {_view(spark, d, 'lineitem')} GROUP BY l_returnflag")
+
+
+def sql_join_all(spark, d):
+    """Every column of a self-join, by the names that the engine gives."""
+    n = _view(spark, d, "nation")
+    return service.execute(f"SELECT * FROM {n} a JOIN {n} b ON a.n_regionkey = b.n_nationkey")
 
 
 def posting_stream(spark, d):
     """Orders and a second copy of them as a stream of postings; each key is booked once."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tally-stream-')}/postings-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
     rows = _postings(table(spark, d, "orders"))
     rows.unionByName(rows.withColumn("o_orderkey", F.col("o_orderkey") + 10**12).withColumn("amount", F.col("amount") + 1)).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
@@ -239,6 +340,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [scan_all, column_scan, row_count, schema_listing, point_fetch, project_alias, filter_eq_int, filter_eq_str, filter_eq_scan, filter_eq_null, filter_between, filter_between_str, sql_filter_eq, sql_filter_between, sql_between_reversed]
     made += [group_sum, group_count, group_avg, group_all, group_filtered, group_string_key, group_default_name, sql_group_sum, global_aggregate, join_group, join_prefixed, join_large, self_join, prefix_sum, row_ids, range_sum_avg, three_sum, four_sum]
     made += [post_entries, balance, transaction_count, transaction_for_key, idempotent_first, rejected_postings, validate_suspicious, index_vs_scan, query_service, explain_steps, state_digest, posting_stream]
+    made += [prefix_sum_fine, prefix_sum_double, range_sum_double, insert_rows, bulk_insert, read_column, recovery, wal_records, row_stream, batch_plan, row_width, sql_select_all, sql_group_avg, sql_join_all]
     return {f.__name__: f for f in made}
 
 
@@ -248,6 +350,17 @@ _LEGS = """SELECT 'tx-ORD-' || o_orderkey AS transaction_id, 'ORD-' || o_orderke
  FROM orders, (VALUES ('debit'), ('credit')) e(entry_type) WHERE o_totalprice > 0"""
 
 
+_RATED = "SELECT o_orderkey, o_totalprice * CAST(0.0625 AS DOUBLE) AS rate FROM orders"
+
+
+def _digest(name: str, columns: list[str]) -> str:
+    """Count and digest of a table: SHA-256 of each row's JSON, added up by words of 32 bits."""
+    json = ", ".join(f"'{c}', {c}" for c in columns)
+    words = ", ".join(f"SUM(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) AS w{k}" for k in range(8))
+    joined = " || ':' || ".join(["CAST(rows AS VARCHAR)", *(f"CAST(w{k} AS VARCHAR)" for k in range(8))])
+    return f"SELECT rows, sha256({joined}) AS digest FROM (SELECT COUNT(*) AS rows, {words} FROM (SELECT sha256(CAST(json_object({json}) AS VARCHAR)) AS h FROM {name}))"
+
+
 def _sums(n: int, keys: str) -> str:
     names = "abcd"[:n]
     tables = ", ".join(f"k k{x}" for x in names)
@@ -302,6 +415,20 @@ def oracle_sql() -> dict[str, str]:
         "index_vs_scan": "SELECT true AS agree",
         "query_service": "SELECT o_orderstatus, COUNT(o_orderkey) AS orders FROM orders GROUP BY o_orderstatus",
         "explain_steps": "SELECT * FROM (VALUES (0, 'table_scan(orders)'), (1, 'range_index_binary_search(o_custkey)'), (2, 'project')) v(step, name)",
-        "state_digest": "SELECT COUNT(*) AS rows FROM nation",
+        "state_digest": _digest("nation", ["n_name", "n_nationkey", "n_regionkey"]),
+        "prefix_sum_fine": f"SELECT o_orderkey, CAST(SUM(CAST(rate AS DECIMAL(38,8))) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS prefix_sum FROM ({_RATED})",
+        "prefix_sum_double": "SELECT event_id, round(SUM(value / 7) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 3) AS prefix_sum FROM events",
+        "range_sum_double": f"SELECT round(SUM(rate), 3) AS range_sum, round(SUM(rate) / COUNT(*), 6) AS range_avg FROM (SELECT rate, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM ({_RATED})) WHERE r >= 50 AND r < 5000",
+        "insert_rows": "SELECT r_regionkey, r_name FROM region",
+        "bulk_insert": "SELECT o_orderkey, o_custkey, o_totalprice, o_custkey % 2 = 0 AS first FROM orders",
+        "read_column": "SELECT c_name FROM customer",
+        "recovery": _LEGS,
+        "wal_records": "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT -1, 1",
+        "row_stream": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+        "batch_plan": "SELECT CAST(1000 / 96 + 1 AS BIGINT) AS batches, CAST(21 AS DOUBLE) AS cost, CAST(16384 AS BIGINT) AS peak_bytes, CAST(96 AS BIGINT) AS rows",
+        "row_width": "SELECT COUNT(*) AS rows, CAST(ceil(avg(24 + strlen(n_name))) AS BIGINT) AS row_bytes FROM nation",
+        "sql_select_all": "SELECT * FROM nation",
+        "sql_group_avg": "SELECT l_returnflag, CAST(SUM(l_linenumber) AS DOUBLE) / COUNT(l_linenumber) AS mean FROM lineitem GROUP BY l_returnflag",
+        "sql_join_all": "SELECT " + ", ".join(f'{a}.{c} AS "{side}.{c}"' for a, side in (("a", "left"), ("b", "right")) for c in ("n_nationkey", "n_name", "n_regionkey")) + " FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey",
         "posting_stream": _LEGS,
     }
