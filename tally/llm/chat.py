@@ -1,23 +1,26 @@
 """Chat formatting: roles of transcript segments by a hidden Markov model, then canonical turns.
 
 A turn's text is cut at lines that open with a speaker marker ("User:",
-"Assistant:" and the like). Each segment shows a marker (its own, or for the first
-the recorded one, or none), a length class, whether it asks, and a class of line
-counts. States are roles. Start, transition and feature probabilities are counted
-over all labelled turns that aren't held out, with add-one smoothing; a marker is
-right with probability ``TRUST``. Viterbi finds the likeliest roles, once with
-markers and once from the lines alone.
+"Assistant:" and the like). Names that are words of their own ("Q:", "Model:",
+"Customer:") are markers only where the text has them on both sides of a pair, each
+at least once and in turn; else they stay text. Each segment shows its marker, if
+any, a length class, whether it asks, and a class of line counts. States are roles;
+recorded roles are no input. Start, transition and feature probabilities are
+counted over all labelled turns that aren't held out, with add-one smoothing; a
+marker is right with probability ``TRUST``. Viterbi finds the likeliest roles, once
+with markers and once from the lines alone.
 
 A conversation is cut into chunks of ``CHUNK`` turn numbers. Each chunk gives, for
 each first and last role, the best path's weight; a scan over a conversation's
 chunks (a small fraction of its rows) fixes their first and last roles; then each
 chunk is solved on its own. So a conversation that holds a third of all rows is
-spread over many tasks.
+spread over many tasks. Transitions are counted within chunks, and from chunk to
+chunk by their first and last rows.
 
 Rows with equal conversation and turn are taken in the order of their text's
-hash. Null texts are empty segments; a null turn comes first; a null conv_id is a
-conversation of its own; recorded roles outside ``ROLES`` count as none. An empty
-table gives no rows.
+hash. Null texts are empty segments; a null turn comes first; each row without a
+conv_id is a conversation of its own (equal ones are one); recorded roles outside
+``ROLES`` count as none. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,20 +39,34 @@ from .common import cut
 
 ROLES = ("system", "user", "assistant")
 TRUST, CHUNK = 0.98, 256
-#: Names that mark a speaker at the start of a line.
-MARKERS = {"system": "system instruction instructions", "user": "user human customer client question q", "assistant": "assistant bot ai agent model answer a"}
+#: Names that mark a speaker at the start of a line, and pairs of such that are words of their own.
+MARKERS = {"system": "system", "user": "user human", "assistant": "assistant bot ai chatbot"}
+PAIRS = "q a, question answer, customer agent, client agent, customer support, prompt response, user model, human model, instruction response"
 _ROLE_OF = {w: k for k, r in enumerate(ROLES) for w in MARKERS[r].split()}
-MARKER = re.compile(r"(?im)^[ \t]*(?:[#>*\[<|]{0,4}[ \t]*)(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")[ \t]*[\]>*|]{0,4}[ \t]*:[ \t]*")
+_PAIRS = [tuple(p.split()) for p in PAIRS.split(", ")]
+_WORDS = sorted({*_ROLE_OF, *(w for p in _PAIRS for w in p)}, key=len, reverse=True)
+MARKER = re.compile(r"(?im)^[ \t]*(?:[#>*\[<|]{0,4}[ \t]*)(" + "|".join(_WORDS) + r")[ \t]*[\]>*|]{0,4}[ \t]*:[*|]{0,2}[ \t]*")
 LENGTHS, LINES = 16, 4
 
 
+def markers(text: str) -> list[tuple[int, int, int]]:
+    """Role, start and end of each speaker marker of a text."""
+    found = [(m[1].lower(), m.start(), m.end()) for m in MARKER.finditer(text)]
+    role_of = dict(_ROLE_OF)
+    for one, other in _PAIRS:
+        turns = [w for w, *_ in found if w in (one, other)]
+        if one in turns and other in turns and all(a != b for a, b in zip(turns, turns[1:], strict=False)):
+            role_of |= {one: 1, other: 2}
+    return [(role_of[w], a, b) for w, a, b in found if w in role_of]
+
+
 def segments(text: str) -> list[tuple[int | None, str]]:
-    """Marked role and body of each segment of a turn's text."""
+    """Marked role and body of each segment of a turn's text; only markers and line breaks beside them are left out."""
     out, at, role = [], 0, None
-    for m in MARKER.finditer(text):
-        if m.start() > at or role is not None:
-            out.append((role, text[at : m.start()].strip("\n")))
-        role, at = _ROLE_OF[m[1].lower()], m.end()
+    for found, start, end in markers(text):
+        if start > at or role is not None:
+            out.append((role, text[at:start].strip("\n")))
+        role, at = found, end
     if role is not None or at < len(text) or not out:
         out.append((role, text[at:].strip("\n") if role is not None else text[at:]))
     return out
@@ -108,22 +125,31 @@ def held_out(conv_id):
     return F.crc32(conv_id.cast("string").cast("binary")) % 5 == 0
 
 
+#: A conversation: its id, and for rows without one a hash of the row.
+CONVERSATION = ["conv_id", "lone"]
+
+
 def _rows(conversations: DataFrame) -> DataFrame:
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.col("text").cast("string").alias("text"))
-    return own.withColumns({"chunk": F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).cast("long"), "tie": F.xxhash64("text", "role")})
+    own = own.withColumns({"chunk": F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).cast("long"), "tie": F.xxhash64("text", "role")})
+    return own.withColumn("lone", F.when(F.col("conv_id").isNull(), F.xxhash64("tie", "turn")).otherwise(F.lit(0).cast("long")))
 
 
 def fit(conversations: DataFrame) -> Model:
     """Count over all labelled turns that aren't held out."""
     rows = _rows(conversations).where(~held_out(F.coalesce("conv_id", F.lit(0))))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "tie")
+    place = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "tie")
+    order = Window.partitionBy(*CONVERSATION, "chunk").orderBy(place)
     known = rows.where(F.col("role").isin(*ROLES))
     text = F.coalesce("text", F.lit(""))
     size = F.least(F.lit(LENGTHS - 1), F.when(F.length(text) > 0, F.floor(F.log2(F.length(text).cast("double"))) + 1).otherwise(0)).cast("int")
     asks = (text.contains("?") | text.contains("¿")).cast("int")
     lines = F.least(F.lit(LINES - 1), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("int")
     counts = known.groupBy("role", size.alias("n"), asks.alias("q"), lines.alias("k")).count().collect()  # a few hundred classes at most
-    pairs = known.select("role", F.lag("role").over(order).alias("before")).groupBy("before", "role").count().collect()
+    inner = known.select("role", F.lag("role").over(order).alias("before")).where(F.col("before").isNotNull())
+    ends = known.groupBy(*CONVERSATION, "chunk").agg(F.min_by("role", place).alias("role"), F.max_by("role", place).alias("last"))
+    across = ends.select("role", F.lag("last").over(Window.partitionBy(*CONVERSATION).orderBy("chunk")).alias("before"))  # a row for each chunk
+    pairs = inner.unionByName(across).groupBy("before", "role").count().collect()
     at = {r: k for k, r in enumerate(ROLES)}
     s = len(ROLES)
     start, move, length, ask, line = np.ones(s), np.ones((s, s)), np.ones((s, LENGTHS)), np.ones((s, 2)), np.ones((s, LINES))
@@ -139,13 +165,11 @@ def fit(conversations: DataFrame) -> Model:
     return Model(*(np.log(x / x.sum(-1, keepdims=True)) for x in (start, move, length, ask, line)))
 
 
-def _weights(model: Model, rows: list[tuple[str, str]]) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
-    """Row and body of each segment of a chunk, and weights with and without markers; rows: (role, text)."""
+def _weights(model: Model, texts: list[str | None]) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
+    """Row and body of each segment of a chunk, and weights with and without markers."""
     owner, bodies, marked, plain = [], [], [], []
-    for i, (role, text) in enumerate(rows):
-        for k, (marker, body) in enumerate(segments(text or "")):
-            if marker is None and not k and role in ROLES:
-                marker = ROLES.index(role)
+    for i, text in enumerate(texts):
+        for marker, body in segments(text or ""):
             owner.append(i)
             bodies.append(body)
             plain.append(model.weigh(body, None))
@@ -188,17 +212,17 @@ LONG, INT, TEXT = pa.int64(), pa.int32(), pa.string()
 def format_chats(conversations: DataFrame, model: Model) -> DataFrame:
     """A row for each segment: conv_id, turn, recorded role, segment (its place in the chunk), found role, blind role (from the lines alone) and rendered turn."""
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "chunk", F.col("turn").asc_nulls_first(), "tie"]
-    rows = _rows(conversations).select("conv_id", "chunk", "turn", "tie", "role", "text")
-    sorted_rows = rows.repartition(parts, "conv_id", "chunk").sortWithinPartitions(*order)
+    order = [*CONVERSATION, "chunk", F.col("turn").asc_nulls_first(), "tie"]
+    rows = _rows(conversations).select(*CONVERSATION, "chunk", "turn", "tie", "role", "text")
+    sorted_rows = rows.repartition(parts, *CONVERSATION, "chunk").sortWithinPartitions(*order)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
-            for run in _runs(batches, 2):
-                _, _, marked, plain = _weights(model, [(r[4], r[5]) for r in run])
-                yield [(*run[0][:2], span(model.move, marked).ravel().tolist(), span(model.move, plain).ravel().tolist())]
+            for run in _runs(batches, 3):
+                _, _, marked, plain = _weights(model, [r[6] for r in run])
+                yield [(*run[0][:3], span(model.move, marked).ravel().tolist(), span(model.move, plain).ravel().tolist())]
 
-        return _batches(each(), ["conv_id", "chunk", "marked", "plain"], [LONG, LONG, pa.list_(pa.float64()), pa.list_(pa.float64())])
+        return _batches(each(), ["conv_id", "lone", "chunk", "marked", "plain"], [LONG, LONG, LONG, pa.list_(pa.float64()), pa.list_(pa.float64())])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ends(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -216,24 +240,24 @@ def format_chats(conversations: DataFrame, model: Model) -> DataFrame:
 
         def each():
             s = len(ROLES)
-            for run in _runs(batches, 1):
-                a, b = (ends([np.array(r[k]).reshape(s, s) for r in run]) for k in (2, 3))
-                yield [(r[0], r[1], *x, *y) for r, x, y in zip(run, a, b, strict=True)]
+            for run in _runs(batches, 2):
+                a, b = (ends([np.array(r[k]).reshape(s, s) for r in run]) for k in (3, 4))
+                yield [(*r[:3], *x, *y) for r, x, y in zip(run, a, b, strict=True)]
 
-        return _batches(each(), ["conv", "part", "a", "b", "c", "d"], [LONG, LONG, INT, INT, INT, INT])
+        return _batches(each(), ["conv", "alone", "part", "a", "b", "c", "d"], [LONG, LONG, LONG, INT, INT, INT, INT])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
-            for run in _runs(batches, 2):
-                owner, bodies, marked, plain = _weights(model, [(r[4], r[5]) for r in run])
-                a, b, c, d = run[0][6:]
+            for run in _runs(batches, 3):
+                owner, bodies, marked, plain = _weights(model, [r[6] for r in run])
+                a, b, c, d = run[0][7:]
                 fixed = lambda k: np.where(np.arange(len(ROLES)) == k, 0.0, -np.inf)
                 found, blind = viterbi(fixed(a), model.move, marked, b), viterbi(fixed(c), model.move, plain, d)
-                yield [(run[i][0], run[i][2], run[i][4], n, ROLES[f], ROLES[g], RENDER.format(role=ROLES[f], text=body)) for n, (i, body, f, g) in enumerate(zip(owner, bodies, found, blind, strict=True))]
+                yield [(run[i][0], run[i][3], run[i][5], n, ROLES[f], ROLES[g], RENDER.format(role=ROLES[f], text=body)) for n, (i, body, f, g) in enumerate(zip(owner, bodies, found, blind, strict=True))]
 
         return _batches(each(), ["conv_id", "turn", "recorded", "segment", "role", "blind_role", "rendered"], [LONG, LONG, TEXT, LONG, TEXT, TEXT, TEXT])
 
-    paths = sorted_rows.mapInArrow(spans, "conv_id long, chunk long, marked array<double>, plain array<double>")
-    ends = cut(paths.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(chain, "conv long, part long, a int, b int, c int, d int"))
-    joined = rows.join(ends, rows["conv_id"].eqNullSafe(ends["conv"]) & (rows["chunk"] == ends["part"])).drop("conv", "part")
-    return joined.repartition(parts, "conv_id", "chunk").sortWithinPartitions(*order).mapInArrow(solve, "conv_id long, turn long, recorded string, segment long, role string, blind_role string, rendered string")
+    paths = sorted_rows.mapInArrow(spans, "conv_id long, lone long, chunk long, marked array<double>, plain array<double>")
+    ends = cut(paths.repartition(parts, *CONVERSATION).sortWithinPartitions(*CONVERSATION, "chunk").mapInArrow(chain, "conv long, alone long, part long, a int, b int, c int, d int"))
+    joined = rows.join(ends, rows["conv_id"].eqNullSafe(ends["conv"]) & (rows["lone"] == ends["alone"]) & (rows["chunk"] == ends["part"])).drop("conv", "alone", "part")
+    return joined.repartition(parts, *CONVERSATION, "chunk").sortWithinPartitions(*order).mapInArrow(solve, "conv_id long, turn long, recorded string, segment long, role string, blind_role string, rendered string")

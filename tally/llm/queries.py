@@ -35,7 +35,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_learned"))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = cut(media.store(table(spark, sf_dir, "documents")))
+    # media and PCM at half the rate, for narrow-band use, as one table
+    stored = cut(media.with_pcm(media.store(table(spark, sf_dir, "documents")), to=4000))
     rows = media.payload_features(stored)
     tail = F.crc32(F.expr("substring(payload, -16, 16)"))
     return rows.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
