@@ -34,15 +34,14 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 def difference(sizes: list[int], k: int) -> np.ndarray:
     """The window (0 to k - 1) of each size, by Karmarkar-Karp multiway differencing."""
     order = np.argsort(-np.array(sizes, np.int64), kind="stable")
-    # the larger sizes enter as partial partitions of k sizes each, one to a window; the rest one by one
-    whole = max(0, len(sizes) // k - 1)
-    leaves = [order[i * k : (i + 1) * k][::-1] for i in range(whole)] + [order[i : i + 1] for i in range(whole * k, len(sizes))]
+    # each size enters as a partial partition of its own: it in one window, nothing in the others
+    leaves = [order[i : i + 1] for i in range(len(sizes))]
     sums: dict[int, np.ndarray] = {}
     made: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     heap = []
     for i, leaf in enumerate(leaves):
         sums[i] = np.zeros(k, np.int64)
-        sums[i][-len(leaf) :] = [sizes[j] for j in leaf]
+        sums[i][-1] = sizes[leaf[0]]
         heap.append((int(sums[i][0] - sums[i][-1]), i))
         sums[i] -= sums[i][0]
     heapq.heapify(heap)

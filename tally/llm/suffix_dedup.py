@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, row_key, slices
+from .common import bytes_of, cut, drop_cut, row_key, slices
 from .wordhash import U, mix, prefix_hash, span_hash
 
 WIDTH, GRAM, SHALLOW, GROUP, PART, CROWD = 400, 32, 32, 256, 16, 50_000
@@ -300,10 +300,14 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     few = parts.join(crowds, "key", "left_anti").select("key", "anchor", "whole", "base", "shift", "bytes")
     sorted_ones = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort(width), SORT_SCHEMA)
     windows = sorted_ones.unionByName(_told_by_digest(parts.join(crowds, "key", "left_semi"), width))
-    ranges = full.unionByName(windows).groupBy("anchor", "whole").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))  # a stretch has few windows
+    # written first, so that nothing but a shuffle stands between both sides and the join, and a common stretch's rows can be split
+    ranges = cut(full.unionByName(windows).groupBy("anchor", "whole").agg(F.collect_list(F.struct("start", "length")).alias("ranges")))  # a stretch has few windows
     hits = found.join(ranges, ["anchor", "whole"]).select("row", F.explode("ranges").alias("r"), "first")
     hits = hits.select("row", (F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.start") + F.col("r.length") - 1 + width).alias("end")).distinct()
-    return hits.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # no more than the row's own windows
+    spans = cut(hits.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))  # no more than the row's own windows
+    for done in (found, kinds, parts, ranges):
+        drop_cut(done)
+    return spans
 
 
 def merged(spans: list) -> list[tuple[int, int]]:

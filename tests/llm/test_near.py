@@ -84,10 +84,50 @@ def test_join_against_all_pairs(spark, block):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == brute(docs)
 
 
-def test_prefix_is_shortened_to_the_recall():
-    n = ngram_join.prefix_length(0.8, 32, 8, 0.9995)
-    assert 1 - (1 - 0.8**n) ** 32 >= 0.9995 > 1 - (1 - 0.8 ** (n + 1)) ** 32
-    assert ngram_join.prefix_length(0.5, 2, 8, 0.99) == 1
+def test_recall_by_length():
+    assert ngram_join.recall_of([100] + [0] * 19, 0.8, 32, 8) < 0.9995 < ngram_join.recall_of([100] + [0] * 19, 0.8, 32, 5)
+    assert ngram_join.recall_of([0] * 19 + [100], 0.8, 32, 8) > 0.9995
+    assert ngram_join.recall_of([0] * 20, 0.8, 32, 8) == 1
+
+
+def test_prefixes_are_shortened_for_weak_links(spark):
+    r, docs = random.Random(8), []
+    for i in range(120):  # pairs of a similarity just over the threshold: 46 of 56 shingles shared
+        base = words(1000 + i, 55).split()
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:50], *words(5000 + i, 5).split()]))]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in ngram_join.join(df).collect())
+    assert got == brute(docs) and sum(x[2] for x in got) == 240
+    deep = ngram_join.join(df, recall=0.5).collect()
+    assert 150 < sum(x.n_links for x in deep) <= 240
+
+
+def test_tries_against_all_prefixes(spark):
+    r = np.random.default_rng(3)
+    symbols = r.integers(0, 3, (200, 2, 4))  # two tries of four symbols
+    nodes = spark.createDataFrame([(i, symbols[i].astype(">u2").tobytes()) for i in range(200)], "node long, paths binary").repartition(7)
+    links = ngram_join.tries(nodes, 2, 4, 1).collect()
+    for depth in (1, 2, 3, 4):
+        want, got = Forest(200), Forest(200)
+        for t in range(2):
+            first = {}
+            for i in range(200):
+                j = first.setdefault(tuple(symbols[i, t, :depth]), i)
+                want.up[want.find(i)] = want.find(j)
+        for x in links:
+            if x.depth >= depth:
+                got.up[got.find(x.src)] = got.find(x.dst)
+        groups = lambda f: {frozenset(i for i in range(200) if f.find(i) == root) for root in {f.find(i) for i in range(200)}}
+        assert groups(want) == groups(got)
+
+
+def test_one_row_of_a_component_stays(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    docs = [(1, a), (1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (4, ""), (4, ""), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(map(tuple, ngram_join.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (4, ""), (4, ""), (5, None)], key=str)
 
 
 def test_join_odd_rows(spark):
@@ -168,8 +208,8 @@ def test_short_and_blank_lines(spark):
     assert {r.doc_id: r.removed for r in line_dedup.report(docs).collect()} == {1: "", 2: "0", 3: "0"}
 
 
-@pytest.mark.parametrize("hot, block", [(line_dedup.HOT, line_dedup.BLOCK), (1, 16)])
-def test_lines_of_a_large_family(spark, hot, block):
+@pytest.mark.parametrize("hot, block, direct", [(line_dedup.HOT, line_dedup.BLOCK, line_dedup.DIRECT), (1, 16, 1)])
+def test_lines_of_a_large_family(spark, hot, block, direct):
     r = random.Random(3)
     word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     base, docs = word(100), []
@@ -177,7 +217,7 @@ def test_lines_of_a_large_family(spark, hot, block):
         own = word(22)
         docs += [(len(docs) + k, base + own + word(2)) for k in range(2)]
     docs += [(1000 + k, word(120)) for k in range(50)]
-    got = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot, block=block).collect()
+    got = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot, block=block, direct=direct).collect()
     gone = brute_lines(docs)
     assert len(gone) == 150 and {x.doc_id for x in got} == set(gone)
 
