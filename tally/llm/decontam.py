@@ -20,28 +20,30 @@ placeholder. An item shorter than a window is one window of its own length. Null
 items, match nothing; equal rows are reported each; an item given twice counts
 under each of its ids; with an empty benchmark nothing is reported.
 
-The benchmark's windows are read in passes of at most ``pass_rows`` items, so
-what a task holds is bounded whatever the benchmark's size.
+The benchmark's windows are a table. Documents are read once; their windows pass a
+bitmap of ``BITS`` bits, made of all windows of the benchmark, whose size doesn't grow
+with it, and what passes is joined with that table by hash, in a shuffle. Documents
+and items that share a window are then compared, each document with its own items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import cut, row_key, slices, texts_of
 from .wordhash import BASE, U, combine, mix, words
 
 NUMBER, NAME, UNIT = (U(k) for k in (0xA5A5_0001_0000_0001, 0xA5A5_0002_0000_0003, 0xA5A5_0003_0000_0005))
 #: Units of measure and money.
 UNITS = "km m cm mm mile miles meter meters metre metres foot feet inch inches yard yards kg g mg lb lbs pound pounds ounce ounces gram grams kilogram kilograms ton tons l ml liter liters litre litres gallon gallons hour hours minute minutes second seconds day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees kmh mph watt watts volt volts"
-SCHEMA = "doc_id long, item_id long, matched long, cover double, kind string"
-PASS_ROWS = 20_000
+#: Bits of the bitmap that windows pass before the join; a power of two.
+BITS = 1 << 22
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -124,34 +126,40 @@ def is_slot(template: np.ndarray) -> np.ndarray:
 TEMPLATE, RAW, WHOLE = range(3)
 
 
+def windows(template: np.ndarray, value: np.ndarray, window: int, literals: int) -> Iterator[tuple[int, int, int, int]]:
+    """What for, length, hash and place of each window by which an item is looked up."""
+    if not (n := min(window, len(template))):
+        return
+    plain = np.concatenate([[0], np.cumsum(~is_slot(template))])
+    own = plain[n:] - plain[:-n]
+    raw, runs = combine(value, n).tolist(), combine(template, n).tolist()
+    for p, h in enumerate(runs):
+        rich = own[p] >= min(literals, n)
+        yield (TEMPLATE if rich else RAW, n, h if rich else raw[p], p)
+    if own.min() < min(literals, n) and own.max() and len(template) >= literals:
+        p = int(own.argmax())
+        yield (WHOLE, n, runs[p], p)
+
+
 class Index:
-    """Windows of some items, by kind and length of window."""
+    """Windows of some items, by kind and length of window; ``room`` is the size of a table of hashes' low bits."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, literals: int, openers: bool = False):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]], window: int, literals: int, openers: bool = False, room: int = 1 << 12):
         template, value, first = templates([t or "" for _, t in items], openers)
+        self.room = U(room - 1)
         self.templates = [template[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.values = [value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         # windows by (what they are looked up for, length)
         rows: dict[tuple[int, int], list] = {}
-        for k, t in enumerate(self.templates):
-            if n := min(window, len(t)):
-                plain = np.concatenate([[0], np.cumsum(~is_slot(t))])
-                own = plain[n:] - plain[:-n]
-                raw = combine(self.values[k], n).tolist()
-                runs = combine(t, n).tolist()
-                for p, h in enumerate(runs):
-                    rich = own[p] >= min(literals, n)
-                    rows.setdefault((TEMPLATE if rich else RAW, n), []).append((h if rich else raw[p], k, p))
-                if own.min() < min(literals, n) and own.max() and len(t) >= literals:
-                    p = int(own.argmax())
-                    rows.setdefault((WHOLE, n), []).append((runs[p], k, p))
+        for k, (t, v) in enumerate(zip(self.templates, self.values, strict=True)):
+            for kind, n, h, p in windows(t, v, window, literals):
+                rows.setdefault((kind, n), []).append((h, k, p))
         self.tables: dict[tuple[int, int], tuple] = {}
         for key, found in rows.items():
             found.sort()
             hashes = np.array([f[0] for f in found], np.uint64)
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(hashes & U((1 << 20) - 1)).astype(np.int64)] = True
+            maybe = np.zeros(room, bool)
+            maybe[(hashes & self.room).astype(np.int64)] = True
             self.tables[key] = (hashes, np.array([f[1] for f in found]), np.array([f[2] for f in found]), maybe)
 
 
@@ -160,7 +168,7 @@ def _leaks(template: np.ndarray, value: np.ndarray, first: np.ndarray, index: In
     hits: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
     for (kind, n), (hashes, items, places, maybe) in index.tables.items():
         runs = combine(value if kind == RAW else template, n)
-        at = np.flatnonzero(maybe[(runs & U((1 << 20) - 1)).astype(np.int64)])
+        at = np.flatnonzero(maybe[(runs & index.room).astype(np.int64)])
         low, high = np.searchsorted(hashes, runs[at], "left"), np.searchsorted(hashes, runs[at], "right")
         for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
             text = int(np.searchsorted(first, p, "right")) - 1
@@ -200,42 +208,108 @@ def _leaks(template: np.ndarray, value: np.ndarray, first: np.ndarray, index: In
             yield text, item, len(covered), len(covered) / size, "verbatim" if same else "reparameterised"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, cover: float = 0.5, pass_rows: int = PASS_ROWS) -> DataFrame:
-    """A row for each document and benchmark item found in it."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    count = items.count()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-count // pass_rows))
-    found = []
-    for k in range(passes):
-        some = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]  # about pass_rows items
-        if some:
-            found.append(rows.mapInArrow(_search(sorted(some), window, literals, cover), SCHEMA))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
-
-
-def _search(items: list[tuple[int, str]], window: int, literals: int, cover: float):
+def _key(hashes: np.ndarray, openers: bool, kind: int, n: int) -> np.ndarray:
+    """Hashes of windows, told apart by reading, what they are looked up for, and length."""
+    return mix(hashes ^ mix(np.array([1 + openers + 2 * kind + 8 * n], np.uint64)))
+
+
+def _item_windows(window: int, literals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings = [(o, Index(items, window, literals, o)) for o in (False, True)]
         for whole in batches:
             for part in slices(whole):
-                ids = part.column(0).to_pylist()
-                texts, best = texts_of(part), {}
-                for openers, index in readings:
-                    for t, i, n, c, kind in _leaks(*templates(texts, openers), index, cover):
-                        got = (kind == "verbatim", c, n, kind)
-                        best[t, i] = max(best.get((t, i), got), got)
-                out = [(ids[t], items[i][0], n, c, kind) for (t, i), (_, c, n, kind) in sorted(best.items())]
+                out = []
+                for item, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
+                    for openers in (False, True):
+                        template, value, _ = templates([text], openers)
+                        own = {(kind, n, h) for kind, n, h, _ in windows(template, value, window, literals)}
+                        out += [(item, openers, kind, n, int(_key(np.array([h], np.uint64), openers, kind, n).view(np.int64)[0])) for kind, n, h in own]
                 columns = list(zip(*out, strict=True)) or [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "matched", "cover", "kind"])
+                types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item", "openers", "kind", "n", "key"])
+
+    return run
+
+
+def _probes(forms: list[tuple[bool, int, int]], bitmap: bytes):
+    """Documents with windows that pass the bitmap, and the keys of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        place, number = TaskContext.get().partitionId() << 40, 0
+        for whole in batches:
+            for part in slices(whole):
+                texts, found = texts_of(part), [[] for _ in range(part.num_rows)]
+                for openers in (False, True):
+                    own = [(kind, n) for o, kind, n in forms if o == openers]
+                    if not own:
+                        continue
+                    template, value, first = templates(texts, openers)
+                    for kind, n in own:
+                        keys = _key(combine(value if kind == RAW else template, n), openers, kind, n)
+                        at = np.flatnonzero(bits[(keys & U(BITS - 1)).astype(np.int64)])
+                        text = np.searchsorted(first, at, "right") - 1
+                        inside = at + n <= first[text + 1]
+                        for t, k in zip(text[inside].tolist(), keys[at[inside]].view(np.int64).tolist(), strict=True):
+                            found[t].append(k)
+                kept = [i for i, keys in enumerate(found) if keys]
+                rows = pa.array(kept, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([place + number + i for i in kept], pa.int64()), part.column(0).take(rows), part.column(1).take(rows), part.column(2).take(rows), pa.array([sorted(set(found[i])) for i in kept], pa.list_(pa.int64()))], ["at", "doc_id", "row", "text", "keys"])
+                number += part.num_rows
+
+    return run
+
+
+def _compare(window: int, literals: int, cover: float):
+    """Leaks of each document among its own items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, row, text, items in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                own, best = sorted((i["item"], i["text"]) for i in items), {}
+                for openers in (False, True):
+                    for _, i, n, c, kind in _leaks(*templates([text or ""], openers), Index(own, window, literals, openers), cover):
+                        got = (kind == "verbatim", c, n, kind)
+                        best[i] = max(best.get(i, got), got)
+                out += [(doc, row, own[i][0], n, c, kind) for i, (_, c, n, kind) in sorted(best.items())]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "row", "item", "matched", "cover", "kind"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no item was found, with their own columns."""
-    # ids of documents with leaks: shuffled, as their count grows with the corpus
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__leak"], "left_anti")
+FOUND = "doc_id long, row long, item long, matched long, cover double, kind string"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, literals: int, cover: float) -> tuple[DataFrame, DataFrame]:
+    """The leaks by row of a document (its key) and text of an item (its hash); and item_id by that hash."""
+    spark = docs.sparkSession
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    given = given.withColumn("item", F.xxhash64("text"))
+    items = given.groupBy("item").agg(F.min("text").alias("text"))
+    known = cut(items.select("item", "text").mapInArrow(_item_windows(window, literals), "item long, openers boolean, kind int, n int, key long"))
+    forms = sorted(tuple(r) for r in known.select("openers", "kind", "n").distinct().collect())  # a few for each length of window
+    if not forms:
+        return spark.createDataFrame([], FOUND), given.select("item", "item_id")
+    bits = np.zeros(BITS, bool)
+    bits[[r[0] for r in known.select(F.col("key").bitwiseAND(F.lit(BITS - 1)).alias("bit")).distinct().collect()]] = True  # BITS at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", row_key("doc_id", "text").alias("row"), "text")
+    probes = cut(rows.mapInArrow(_probes(forms, np.packbits(bits, bitorder="little").tobytes()), "at long, doc_id long, row long, text string, keys array<long>"))
+    pairs = probes.select("at", F.explode("keys").alias("key")).join(known.select("key", "item"), "key").select("at", "item").distinct()
+    wanted = pairs.join(items, "item").groupBy("at").agg(F.collect_list(F.struct("item", "text")).alias("items"))  # items that share a window with the document
+    return probes.select("at", "doc_id", "row", "text").join(wanted, "at").select("doc_id", "row", "text", "items").mapInArrow(_compare(window, literals, cover), FOUND), given.select("item", "item_id")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, cover: float = 0.5) -> DataFrame:
+    """doc_id, item_id, matched, cover and kind: a row for each document and benchmark item found in it."""
+    found, ids = _found(docs, benchmark, window, literals, cover)
+    return found.join(ids, "item").select("doc_id", "item_id", "matched", "cover", "kind")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, cover: float = 0.5) -> DataFrame:
+    """The documents in which no item was found, with their own columns; those without a doc_id are judged too."""
+    # documents with leaks: shuffled, as their count grows with the corpus
+    bad = _found(docs, benchmark, window, literals, cover)[0].select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return keyed.join(bad, (F.col("__key") == F.col("__row")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti").drop("__key")
