@@ -14,7 +14,11 @@ from .sources.tables import RowTable, exists
 
 
 class Database:
-    """Rows under ``path/rows`` and ledger entries under ``path/ledger_entries``."""
+    """Rows under ``path/rows`` and ledger entries under ``path/ledger_entries``.
+
+    One writer at a time: an append or a posting reads what is there before it adds to
+    it, so two at once may give one row id or one posting key twice. Readers need no care.
+    """
 
     def __init__(self, spark: SparkSession, path: str, **table_options: Any):
         self.spark, self.path = spark, path

@@ -154,3 +154,31 @@ def test_command_line(spark, tmp_path, capsys):
     out = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
     assert out[0] == {"row_count": 1} and out[1] == {"transaction_id": "tx-T1"} and out[2] == {"debits": 7, "credits": 7}
     assert out[3]["rows"] == [{"amount": 5}] and out[4] == [{"key": 1, "amount": 5}]
+
+
+def scanned(df):
+    """Rows that the scan of an executed plan gave."""
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan"):
+            return node.metrics().apply("numOutputRows").value()
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+
+
+def test_clustering_and_bloom_filters_skip_row_groups(spark, tmp_path):
+    data = spark.range(20_000).selectExpr("id * 7919 % 20000 AS key", "concat('name ', id * 7919 % 20000) AS name")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        RowTable(spark, str(tmp_path / "sorted"), cluster_by="key").append(data)
+        RowTable(spark, str(tmp_path / "bloom"), bloom=("name",)).append(data)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    db = Database(spark, str(tmp_path / "none"))
+    db.table = RowTable(spark, str(tmp_path / "sorted"))
+    for found, n in ((db.filter_eq("key", 4321), 1), (db.filter_between("key", 100, 199), 100)):
+        assert len(found.collect()) == n and scanned(found) <= 10_000
+    db.table = RowTable(spark, str(tmp_path / "bloom"))
+    one, none = db.filter_eq("name", "name 4321"), db.filter_eq("name", "name 4321x")
+    assert len(one.collect()) == 1 and scanned(one) < 20_000 and none.collect() == [] and scanned(none) == 0
