@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,30 +13,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 #: Text of one numpy working set, in bytes; a longer text makes a set of its own.
 CHUNK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tally-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+#: Folders written by this process's operators in the shared folder, oldest first.
+_written: list[str] = []
 
 
-#: Folders written by cut() in this process, oldest first.
-_written: list[str] = []
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder, which goes with ``drop_cuts_since``."""
+    at = f"{shared_dir(spark)}/tally/{uuid.uuid4().hex}"
+    _written.append(at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tally/{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    What is returned lives until ``drop_cut`` or ``drop_cuts_since``.
+    """
+    at = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(at)
-    _written.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -51,6 +52,12 @@ def drop_cut(df: DataFrame) -> None:
         delete(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished jobs, so that Spark removes their shuffle files from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mark() -> int:
     """A place in the list of cuts, for ``drop_cuts_since``."""
     return len(_written)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, media, ngram_join, packing, pii, sql, suffix_dedup, token_orc, toxicity
-from .common import cut, shared_dir
+from . import chat, decontam, line_dedup, media, ngram_join, packing, passages, pii, sql, suffix_dedup, token_orc, toxicity
+from .common import cut, new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +52,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tally/orc-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, vocabulary())
     return token_orc.crc32_of_ids(token_orc.read_token_orc(spark, path))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Beside the bytes that go, whether a run of over 50 words stands in another document too: such a run may be under 400 bytes long."""
+    docs = table(spark, sf_dir, "documents")
+    rows = suffix_dedup.dedup(docs, marks=passages.sharing(docs))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("marked").alias("shares_passage"))
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, drop_cut, row_key, slices
+from .common import bytes_of, cut, drop_cut, release, row_key, slices
 from .wordhash import U, mix, prefix_hash, span_hash
 
 WIDTH, GRAM, SHALLOW, GROUP, PART, CROWD = 400, 32, 32, 256, 16, 50_000
@@ -289,6 +289,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = cut(rows.mapInArrow(_anchors(width), "row long, anchor long, whole long, first long, last long, place long"))
     kinds = found.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last", "place")).alias("one"))
     kinds = cut(kinds)
+    release(spark)
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     # equal as a whole
     full = kinds.where(F.col("n") > 1).select("anchor", "whole", F.lit(0).alias("start"), (F.col("one.last") - F.col("one.first") + 1).cast("int").alias("length"))
@@ -296,6 +297,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     mixed = kinds.join(shared, "anchor").select(F.col("one.row").alias("row"), F.struct("anchor", "whole", (F.col("kinds") > GROUP).alias("hot"), F.col("one.place").alias("place"), F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("s"))
     wanted = mixed.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than the row's own stretches
     parts = cut(rows.join(wanted, "row").dropDuplicates(["row"]).select("text", "own").mapInArrow(_cut_out(width), CUT_SCHEMA))
+    release(spark)
     crowds = parts.where("hot").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key")
     few = parts.join(crowds, "key", "left_anti").select("key", "anchor", "whole", "base", "shift", "bytes")
     sorted_ones = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort(width), SORT_SCHEMA)
@@ -307,6 +309,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spans = cut(hits.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))  # no more than the row's own windows
     for done in (found, kinds, parts, ranges):
         drop_cut(done)
+    release(spark)
     return spans
 
 
@@ -332,11 +335,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = b
                 kept.append(b"".join([*left, text[at:]]))
                 spans.append([{"start": a, "end": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in bytes_of(part)], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in bytes_of(part)], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), part.column(part.schema.get_field_index("marked"))], ["doc_id", "n_bytes", "removed", "kept", "marked"])
 
 
-def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, removed (byte ranges) and kept (the bytes left) of every document."""
+def dedup(docs: DataFrame, width: int = WIDTH, marks: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, removed (byte ranges) and kept (the bytes left) of every document; with marks (row, the key of doc_id and text) also marked, 1 or 0."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeats(own, width)
-    return own.withColumn("row", row_key("doc_id", "text")).join(found, "row", "left").select("doc_id", "spans", "text").mapInArrow(_remove, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary")
+    both = own.withColumn("row", row_key("doc_id", "text")).join(repeats(own, width), "row", "left")
+    both = both.withColumn("marked", F.lit(0)) if marks is None else both.join(marks.select("row", F.lit(1).alias("marked")), "row", "left")
+    out = both.select("doc_id", "spans", "text", F.coalesce("marked", F.lit(0)).alias("marked")).mapInArrow(_remove, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary, marked int")
+    return out.drop("marked") if marks is None else out

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import slices, texts_of
 from .tokens import Encoder
 
+#: Folder of the files' totals, beside them; readers of tables pass over such names.
+TOTALS = "_totals"
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -51,12 +53,14 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     dealt = columns.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     options = {"compression": compression, "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     dealt.select("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**options).orc(path)
+    # a row for each file, so that later readers need not add up what they don't look for
+    spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).coalesce(1).write.json(f"{path}/{TOTALS}")
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, from the files."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one row for each file
+    totals = spark.read.schema("part int, n long").json(f"{path}/{TOTALS}").collect()  # one row for each file
     before, at = {}, 0
     for part, n in sorted(totals):
         before[part] = at

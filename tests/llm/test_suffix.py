@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
-from tally.llm import suffix_dedup
+from tally.llm import passages, suffix_dedup
+from tally.llm.common import row_key
 from tally.llm.queries import queries
 
 from .cases import no_docs, odd_docs, words
@@ -101,3 +103,33 @@ def test_query(spark, sf_dir):
         r = got[d.doc_id]
         raw = np.frombuffer(d.text.encode(), np.uint8)
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(raw), int(mask.sum()), hashlib.sha256(raw[~mask].tobytes()).hexdigest())
+
+
+def brute_sharing(docs, n):
+    """Texts by place that hold n words in a row which another one holds."""
+    runs = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (re.findall(r"[0-9a-z_]+", t) for t in docs)]
+    return {i for i, a in enumerate(runs) for j, b in enumerate(runs) if i != j and a & b}
+
+
+def test_passages_against_all_runs(spark):
+    r, docs = random.Random(3), []
+    shared = [words(800 + k, 40).split() for k in range(6)]
+    for i in range(60):
+        part = shared[r.randrange(6)] if r.random() < 0.6 else []
+        a = r.randrange(0, 25)
+        part = part[a : a + r.choice([8, 11, 12, 13, 20, 40])]
+        docs.append(" ".join([*words(i, r.randrange(0, 30)).split(), *part, *words(500 + i, r.randrange(0, 30)).split()]))
+    docs += [docs[0], "", "one two"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    keys = {x.row: x.doc_id for x in df.select("doc_id", row_key("doc_id", "text").alias("row")).collect()}
+    for n, gram in ((12, 4), (12, 8), (20, 5)):
+        got = {keys[x.row] for x in passages.sharing(df, n, gram).collect()}
+        assert got == brute_sharing(docs, n)
+
+
+def test_passages_odd_rows(spark):
+    odd = odd_docs(spark)
+    got = passages.sharing(odd)
+    own = odd.select("doc_id", row_key("doc_id", "text").alias("row")).join(got, "row").collect()
+    assert sorted(str(x.doc_id) for x in own) == ["5", "6", "7", "7", "8", "None"]
+    assert passages.sharing(no_docs(spark)).count() == 0

@@ -83,8 +83,33 @@ def test_orc_files_carry_bloom_filters(spark, tmp_path):
     file = next(path.glob("part-*.orc"))
     reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
     assert reader.getRowIndexStride() == 1000
-    footer = reader.getStripes()
-    assert footer.size() == 1 and footer.get(0).getIndexLength() > 0
+    stripe = reader.getStripes().get(0)
+    assert reader.getStripes().size() == 1 and stripe.getIndexLength() > 0
+    columns = list(reader.getSchema().getFieldNames())
+    streams = [(str(x.getKind()), x.getColumn()) for x in reader.rows().readStripeFooter(stripe).getStreamsList()]
+    assert [c for k, c in streams if k.startswith("BLOOM_FILTER")] == [1 + columns.index("doc_id")]
+
+
+def test_a_lookup_reads_few_rows(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    path = str(tmp_path / "tokens")
+    token_orc.write_token_orc(docs, path, vocabulary(), files=2)
+    found = token_orc.find_in_token_orc(spark, path, [12_345])
+    assert [r.doc_id for r in found.collect()] == [12_345]
+    rows = spark.read.schema(token_orc.SCHEMA).orc(path).where("doc_id = 12345")
+    rows.collect()
+    assert scanned(rows) <= 2000
+
+
+def scanned(df):
+    """Rows that the scan of an executed plan gave."""
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan"):
+            return node.metrics().apply("numOutputRows").value()
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
 
 
 def test_queries(spark, sf_dir, library):
