@@ -46,6 +46,8 @@ from .wordhash import U, mix, shingle_sets
 NGRAM, THRESHOLD = 5, 0.8
 TREES, DEEPEST, SHORTEST, RECALL = 32, 8, 3, 0.9995
 BLOCK = 1024
+#: Keys of texts that are broadcast at most.
+FEW = 2_000_000
 #: Classes of similarities that are counted, from the threshold to 1.
 CLASSES = 20
 
@@ -124,7 +126,7 @@ def _matches(length: int, shortest: int):
                 heads[d] = first[d][-1]
             own = np.flatnonzero(shared[1:] >= shortest) + 1
             depth = shared[own]
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(first[depth, own]), pa.array(depth.astype(np.int32)), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(first[depth, own]), pa.array(depth.astype(np.int32)), pa.array(tree[own].astype(np.int32)), pa.nulls(len(own), pa.binary())], NAMES)
             before = (int(tree[-1]), symbols[-1:], int(node[-1]))
         if before is not None:
             yield edge((before[0], before[1].tobytes(), before[2]), -2)
@@ -136,7 +138,7 @@ NAMES = ["src", "dst", "depth", "tree", "path"]
 
 
 def tries(nodes: DataFrame, trees: int, length: int, shortest: int = SHORTEST) -> DataFrame:
-    """src, dst and depth of the links of nodes (node, paths) that are next to each other under a trie node of at least the shortest depth."""
+    """src, dst, depth and tree of the links of nodes (node, paths) that are next to each other under a trie node of at least the shortest depth."""
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = nodes.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
@@ -145,13 +147,36 @@ def tries(nodes: DataFrame, trees: int, length: int, shortest: int = SHORTEST) -
     found = cut(in_order.mapInArrow(_matches(length, shortest), "src long, dst long, depth int, tree int, path binary"))
     # where one part ends and the next begins: two rows for each part
     ends = sorted(found.where(F.col("depth") < 0).collect(), key=lambda r: (r.dst, -r.depth))
+    first, last = [r for r in ends if r.depth == -1], [r for r in ends if r.depth == -2]
+
+    def shared(a, b) -> int:
+        return int(np.logical_and.accumulate(np.frombuffer(a.path, ">u2") == np.frombuffer(b.path, ">u2")).sum()) if a.tree == b.tree else 0
+
     across = []
-    for a, b in zip(ends, ends[1:], strict=False):
-        if a.depth == -2 and a.tree == b.tree:
-            x, y = np.frombuffer(a.path, ">u2"), np.frombuffer(b.path, ">u2")
-            across.append((b.src, a.src, int(np.logical_and.accumulate(x == y).sum())))
-    links = found.where(F.col("depth") >= shortest).select("src", "dst", "depth")
-    return links.unionByName(spark.createDataFrame([x for x in across if x[2] >= shortest], "src long, dst long, depth int"))
+    for k in range(1, len(first)):
+        if (depth := shared(last[k - 1], first[k])) >= shortest:
+            # to the first part under the same trie node, so that one of many parts makes no chain
+            j = k - 1
+            while j and shared(first[j], last[j]) >= depth and shared(last[j - 1], first[j]) >= depth:
+                j -= 1
+            across.append((first[k].src, last[j].src, depth, first[k].tree))
+    links = found.where(F.col("depth") >= shortest).select("src", "dst", "depth", "tree")
+    return links.unionByName(spark.createDataFrame(across, "src long, dst long, depth int, tree int"))
+
+
+def clustered(links: DataFrame, some: int = 4) -> DataFrame:
+    """node and root of the clusters that links (src, dst, tree) make.
+
+    The links of a few tries give most of each cluster; of the others only those
+    between different clusters are left for a second time.
+    """
+    early = cut(components(links.where(F.col("tree") < some).select("src", "dst")))
+    at = lambda side: early.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    late = links.where(F.col("tree") >= some).select("src", "dst").distinct().join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    late = cut(late.select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst")).where(F.col("src") != F.col("dst")).distinct())
+    if late.isEmpty():
+        return early
+    return cut(components(late.unionByName(early.select(F.col("node").alias("src"), F.col("root").alias("dst")))))
 
 
 def _sets(ngram: int):
@@ -255,7 +280,10 @@ def compared(clusters: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int,
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block // 2)).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "root").join(nodes.select("node", "copies", "row"), "node")
     placed = placed.withColumn("blocks", F.when(F.col("blocks") <= 2, F.lit(1)).otherwise(F.col("blocks"))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = placed.join(rows.select("row", "text"), "row").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(ngram), "node long, values array<long>")
+    # texts of the clusters' nodes alone go to a shuffle where their keys are few enough to be sent to all
+    keys = cut(placed.select("row").distinct())
+    texts = rows.select("row", "text").join(F.broadcast(keys) if keys.count() <= FEW else keys, "row", "left_semi")
+    held = placed.select("row", "node").join(texts, "row").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(ngram), "node long, values array<long>")
     pairs = placed.select("root", "node", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select(F.col("root").alias("cluster"), F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "copies")
     dealt = pairs.join(held, "node").select("cluster", "one", "two", "side", "node", "copies", "values")
@@ -272,7 +300,7 @@ def _found(docs: DataFrame, ngram: int, threshold: float, trees: int, deepest: i
     links = tries(nodes, trees, deepest)
     found = known = None
     for length in range(deepest, SHORTEST - 1, -1):
-        clusters = cut(components(links.where(F.col("depth") >= length).select("src", "dst")))
+        clusters = clustered(links.where(F.col("depth") >= length))
         if known is None:
             found = compared(clusters, nodes, rows, ngram, threshold, block)
         else:  # clusters that have not grown stay as they are

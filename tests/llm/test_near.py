@@ -118,6 +118,8 @@ def test_tries_against_all_prefixes(spark):
         for x in links:
             if x.depth >= depth:
                 got.up[got.find(x.src)] = got.find(x.dst)
+        told = {x.node: x.root for x in ngram_join.clustered(spark.createDataFrame([tuple(x) for x in links if x.depth >= depth], "src long, dst long, depth int, tree int"), 1).collect()}
+        assert len({want.find(i) for i in told}) == len(set(told.values())) and all(want.find(i) == want.find(r) for i, r in told.items())
         groups = lambda f: {frozenset(i for i in range(200) if f.find(i) == root) for root in {f.find(i) for i in range(200)}}
         assert groups(want) == groups(got)
 
