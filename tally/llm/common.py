@@ -78,10 +78,22 @@ def row_key(*cols: str):
 
 def trim() -> None:
     """Give memory that earlier work of this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(run):
+    """A function over batches that leaves no freed memory with its worker, which later stages use again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text at most, whole rows each."""
     at = batch.schema.get_field_index(text)

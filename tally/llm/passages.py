@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, release, row_key, slices, texts_of
+from .common import cut, drop_cut, release, row_key, slices, texts_of, trimmed
 from .suffix_dedup import sliding_least
 from .wordhash import BASE, U, combine, join, powers, span_hash, words
 
@@ -91,12 +91,12 @@ def sharing(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame:
     """row (the key of doc_id and text) of the documents that hold a run of ``n`` words which another one holds too."""
     spark = docs.sparkSession
     rows = docs.select(row_key("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
-    found = cut(rows.mapInArrow(_stretches(n, gram), "row long, anchor long, name long"))
+    found = cut(rows.mapInArrow(trimmed(_stretches(n, gram)), "row long, anchor long, name long"))
     kinds = cut(found.groupBy("anchor", "name").agg(F.min("row").alias("row"), (F.min("row") < F.max("row")).alias("settled")))
     release(spark)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("settled").alias("all")).where((F.col("n") > 1) & ~F.col("all")).select("anchor")
     wanted = cut(kinds.join(several, "anchor").groupBy("row").agg(F.collect_list(F.struct("name", "settled")).alias("kinds")))  # no more than the row's own stretches
-    each = cut(rows.join(wanted, "row").dropDuplicates(["row"]).select("row", "text", "kinds").mapInArrow(_runs(n, gram), "row long, name long, settled boolean, run long"))
+    each = cut(rows.join(wanted, "row").dropDuplicates(["row"]).select("row", "text", "kinds").mapInArrow(trimmed(_runs(n, gram)), "row long, name long, settled boolean, run long"))
     release(spark)
     again = each.groupBy("run").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.max("settled").alias("settled")).where((F.col("low") < F.col("high")) | F.col("settled")).select("run")
     names = kinds.where("settled").select("name").unionByName(each.join(again, "run").select("name"))

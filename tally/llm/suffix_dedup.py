@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, drop_cut, release, row_key, slices
+from .common import bytes_of, cut, drop_cut, release, row_key, slices, trimmed
 from .wordhash import U, mix, prefix_hash, span_hash
 
 WIDTH, GRAM, SHALLOW, GROUP, PART, CROWD = 400, 32, 32, 256, 16, 50_000
@@ -286,7 +286,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(row_key("doc_id", "text").alias("row"), "text")
-    found = cut(rows.mapInArrow(_anchors(width), "row long, anchor long, whole long, first long, last long, place long"))
+    found = cut(rows.mapInArrow(trimmed(_anchors(width)), "row long, anchor long, whole long, first long, last long, place long"))
     kinds = found.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last", "place")).alias("one"))
     kinds = cut(kinds)
     release(spark)
@@ -296,11 +296,11 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # different stretches of one anchor: one of each is sorted
     mixed = kinds.join(shared, "anchor").select(F.col("one.row").alias("row"), F.struct("anchor", "whole", (F.col("kinds") > GROUP).alias("hot"), F.col("one.place").alias("place"), F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("s"))
     wanted = mixed.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than the row's own stretches
-    parts = cut(rows.join(wanted, "row").dropDuplicates(["row"]).select("text", "own").mapInArrow(_cut_out(width), CUT_SCHEMA))
+    parts = cut(rows.join(wanted, "row").dropDuplicates(["row"]).select("text", "own").mapInArrow(trimmed(_cut_out(width)), CUT_SCHEMA))
     release(spark)
     crowds = parts.where("hot").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key")
     few = parts.join(crowds, "key", "left_anti").select("key", "anchor", "whole", "base", "shift", "bytes")
-    sorted_ones = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort(width), SORT_SCHEMA)
+    sorted_ones = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(_sort(width)), SORT_SCHEMA)
     windows = sorted_ones.unionByName(_told_by_digest(parts.join(crowds, "key", "left_semi"), width))
     # written first, so that nothing but a shuffle stands between both sides and the join, and a common stretch's rows can be split
     ranges = cut(full.unionByName(windows).groupBy("anchor", "whole").agg(F.collect_list(F.struct("start", "length")).alias("ranges")))  # a stretch has few windows
@@ -343,5 +343,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, marks: DataFrame | None = None) -
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = own.withColumn("row", row_key("doc_id", "text")).join(repeats(own, width), "row", "left")
     both = both.withColumn("marked", F.lit(0)) if marks is None else both.join(marks.select("row", F.lit(1).alias("marked")), "row", "left")
-    out = both.select("doc_id", "spans", "text", F.coalesce("marked", F.lit(0)).alias("marked")).mapInArrow(_remove, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary, marked int")
+    out = both.select("doc_id", "spans", "text", F.coalesce("marked", F.lit(0)).alias("marked")).mapInArrow(trimmed(_remove), "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary, marked int")
     return out.drop("marked") if marks is None else out
