@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from tally.llm import line_dedup, ngram_join
+from tally.llm.common import mark, release
 from tally.llm.components import components
 from tally.llm.queries import queries
 from tally.llm.wordhash import shingle_sets
@@ -148,6 +150,28 @@ def test_join_query(spark, sf_dir):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == brute(docs)
 
 
+def test_rounds_leave_no_shuffles(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    release(spark)
+    time.sleep(1)
+    before, chain = files(), list(range(500))
+    random.Random(2).shuffle(chain)
+    got = components(spark.createDataFrame(list(zip(chain, chain[1:])), "src long, dst long"))
+    until = time.time() + 10
+    while files() > before + 100 and time.time() < until:  # Spark deletes in the background
+        time.sleep(0.2)
+    assert files() <= before + 100
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(500)]
+
+
+def test_lines_leave_their_result_only(spark):
+    base, begun = words(9, 30), mark()
+    docs = [(i, base[:-3] + f"{i:03}") for i in range(200)] + [(1000 + i, words(100 + i, 20)) for i in range(50)]
+    got = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), direct=1)
+    assert mark() - begun == 3  # lines, classes and the first lines of these
+    assert sorted(r.doc_id for r in got.collect()) == sorted(brute_lines(docs))
+
+
 def brute_lines(docs):
     """The places of lines that go, by doc_id; docs are (doc_id, text) with distinct ids. All pairs that share a string of nine characters are compared."""
     lines = sorted((i, p, x.strip(" ").lower()) for i, t in docs for p, x in enumerate((t or "").split("\n")) if x.strip(" "))
