@@ -5,16 +5,19 @@ high recall propose further, overlapping spans: words around at-signs, spelled o
 spaced addresses, clusters of digits with separators, and parts of those. Boosted
 trees judge each proposal for each kind by its format and its surroundings.
 
-The trees learn what the rules don't find. In a bounded sample of documents
-(``FIT_DOCS``, in the order of the id's hash) every base span is written anew in a
-form that the rules miss ("name (at) host dot org", a phone number without plus,
-other separators; see ``disguise``), in its own surroundings. Proposals that overlap
-such a span well are positive; those of another kind or extent there are negative,
-and so are proposals in the text as it was, unless they meet a base span or a telling
-word stands before them: those stay unlabelled. Of all cases at most ``FIT_CASES``
-are taken, in the order of a hash. On the sample's other half each kind's threshold
-is set to the lowest probability at which precision reaches ``PRECISION``; a kind
-with too few cases adds nothing. Added spans never overlap others.
+The trees learn what the rules don't find, from all documents. Every base span is
+written anew in a form that the rules miss ("name (at) host dot org", a phone
+number without plus, other separators; see ``disguise``), in its own surroundings.
+Proposals that overlap such a span well are positive; those of another kind or
+extent there are negative, and so are proposals in the text as it was, unless they
+meet a base span or a telling word stands before them: those stay unlabelled. Cases
+of equal features are one row with their numbers. Trees need nothing but sums over
+these rows: up to ``HELD`` rows are summed on the driver, more of them by Spark, with
+the same trees. Each kind has trees of its own: all kinds are proposed at the same
+digits, so taken together no feature alone tells right from wrong. On the documents that the trees didn't learn from (one half, by the
+id's checksum) each kind's threshold is set to the lowest probability, in steps of
+one in ``STEPS``, at which precision reaches ``PRECISION``; a kind with too few cases
+adds nothing. Added spans never overlap others.
 
 Offsets count code points, ends are exclusive. Null texts have no spans; equal
 rows get equal spans; an empty table gives no rows and adds nothing.
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted
-from .common import sample_keys, texts_of, with_columns
+from .boosting import Boosted, Part, summed
+from .common import cut, drop_cut, texts_of, with_columns
 
-FIT_DOCS, FIT_CASES, PRECISION, LEAST_CASES = 20_000, 80_000, 0.98, 25
+PRECISION, LEAST_CASES, STEPS, HELD = 0.98, 25, 1 << 16, 50_000
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind string, start int, end int, base boolean, score double>>"
 
@@ -47,6 +50,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: What stands before the national form of a phone number.
+NATION = re.compile(r"\+[0-9]{1,3}[ .-]+(?=[(0-9])|\+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.|(?<= )dot(?= )) ?[A-Za-z0-9-]{1,63}){1,8}")
 CLUSTER = re.compile(r"[+(]{0,2}[0-9][0-9 ()./_\[\]-]{5,60}[0-9]")
@@ -136,7 +141,8 @@ def disguise(kind: str, span: str, pick: random.Random) -> str:
     if kind == "card":
         return pick.choice(GAP).join(digits[k : k + 4] for k in range(0, len(digits), 4))
     if pick.random() < 0.4:  # as it was, without its plus
-        return pick.choice(["", "00", "0"]) + span[1:]
+        # or in its national form
+        return pick.choice(["", "00", "0"]) + span[1:] if pick.random() < 0.5 else NATION.sub("", span)
     cut = sorted(pick.sample(range(2, len(digits) - 1), min(3, len(digits) - 3)))
     return pick.choice(STROKE).join(digits[a:b] for a, b in zip([0, *cut], [*cut, len(digits)], strict=True))
 
@@ -173,16 +179,19 @@ def overlap(a: tuple, b: tuple) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    trees: Boosted | None
+    trees: dict[str, Boosted]
     thresholds: dict[str, float]
 
     def spans(self, text: str) -> list[tuple[str, int, int, bool, float]]:
         """Base spans and the proposals selected beside them, by kind and place."""
         found = [(*s, True, 1.0) for s in base_spans(text)]
-        if self.trees and self.thresholds and (some := [p for p in proposals(text) if p[0] in self.thresholds]):
+        if self.thresholds and (some := [p for p in proposals(text) if p[0] in self.thresholds]):
             some = [p for p in some if not any(p[1] < b[2] and b[1] < p[2] for b in found)]
             if some:
-                scores = self.trees.probability(np.array([features(text, *p) for p in some]))
+                x, kinds = np.array([features(text, *p) for p in some]), np.array([p[0] for p in some])
+                scores = np.zeros(len(some))
+                for kind in set(kinds.tolist()):
+                    scores[kinds == kind] = self.trees[kind].probability(x[kinds == kind])
                 taken: list[tuple] = []
                 for score, p in sorted(zip(scores.tolist(), some, strict=True), key=lambda x: (-x[0], x[1])):
                     if score >= self.thresholds[p[0]] and not any(p[1] < t[2] and t[1] < p[2] for t in taken):
@@ -191,38 +200,71 @@ class Model:
         return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, precision: float = PRECISION, fit_cases: int = FIT_CASES) -> Model:
-    """Learn from the proposals of a bounded sample of documents, as they are and disguised."""
-    keys = F.broadcast(sample_keys(docs, "doc_id", fit_docs))  # fit_docs ids at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(keys, "doc_id")
+def counted(docs: DataFrame) -> DataFrame:
+    """half, kind, x (features as bytes), positive and negative (numbers of cases) of all documents."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            found: dict[tuple, list[int]] = {}
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                out += [(doc, *case) for case in cases(text, doc)]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "kind", "label", "x"])
-
-    found = rows.mapInArrow(run, "doc_id long, kind string, label int, x array<double>")
-    found = found.orderBy(F.xxhash64("doc_id", "kind", "x")).limit(fit_cases).collect()  # the sample's bound
-    if len({c.label for c in found}) < 2:
-        return Model(None, {})
-    x, y = np.array([c.x for c in found]), np.array([c.label for c in found], float)
-    kinds, half = np.array([c.kind for c in found]), np.array([crc32(str(c.doc_id).encode()) % 2 == 0 for c in found])
-    if len(set(y[half])) < 2:
-        return Model(None, {})
-    trees = Boosted().fit(x[half], y[half])
-    p, thresholds = trees.probability(x[~half]), {}
-    for kind in KINDS:
-        own = kinds[~half] == kind
-        if y[~half][own].sum() >= LEAST_CASES:
-            order = np.argsort(-p[own], kind="stable")
-            right = np.cumsum(y[~half][own][order]) / np.arange(1, own.sum() + 1)
-            if (good := np.flatnonzero(right >= precision)).size:
-                thresholds[kind] = max(0.5, float(p[own][order][good[-1]]))
-    return Model(trees, thresholds)
+                half = crc32(str(doc).encode()) % 2
+                for kind, label, x in cases(text, doc or 0):
+                    found.setdefault((half, KINDS.index(kind), np.array(x).tobytes()), [0, 0])[1 - label] += 1
+            columns = list(zip(*((*k, *n) for k, n in found.items()), strict=True)) or [()] * 5
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["half", "kind", "x", "positive", "negative"])
+
+    each = rows.mapInArrow(run, "half int, kind int, x binary, positive long, negative long")
+    return each.groupBy("half", "kind", "x").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+
+
+def _arrays(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), float)
+    return x.reshape(table.num_rows, -1) if table.num_rows else np.empty((0, 0)), table.column("positive").to_numpy(zero_copy_only=False), table.column("negative").to_numpy(zero_copy_only=False)
+
+
+def sums_over(rows: DataFrame, held: int = HELD):
+    """A function that sums a ``Part`` over all rows of x, positive and negative; up to ``held`` of them are on the driver."""
+    if rows.count() <= held:
+        cases = _arrays(rows.toArrow())
+        return lambda part: summed(*part(*cases))
+
+    def sums(part: Part) -> tuple:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part(*_arrays(batch)), [pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["key", "value", "one", "two"])
+
+        each = rows.select("x", "positive", "negative").mapInArrow(run, "key long, value double, one long, two long")
+        # no more than features have values, nodes bins and probabilities steps
+        got = each.groupBy("key", "value").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).toArrow()
+        return summed(*(got.column(c).to_numpy() for c in ("key", "value", "one", "two")))
+
+    return sums
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, held: int = HELD) -> Model:
+    """Learn from the proposals of all documents, as they are and disguised."""
+    rows = cut(counted(docs))
+    half = {(r.half, r.kind): r for r in rows.groupBy("half", "kind").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")).collect()}
+    all_trees, thresholds = {}, {}
+    # a kind may have no wrong proposal, but not all of them
+    both = all(any(r[label] for (h, _), r in half.items() if h == 0) for label in ("positive", "negative"))
+    for k, kind in enumerate(KINDS):
+        own = rows.where(F.col("kind") == k)
+        if not both or (0, k) not in half or not half[0, k].positive or (1, k) not in half or half[1, k].positive < LEAST_CASES:
+            continue
+        trees = Boosted().fit_sums(sums_over(own.where("half = 0"), held))
+
+        def reached(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, trees: Boosted = trees) -> tuple:
+            return summed(np.zeros(len(x), np.int64), np.floor(trees.probability(x) * STEPS), positive, negative)
+
+        _, steps, positive, negative = (c[::-1] for c in sums_over(own.where("half = 1"), held)(reached))
+        if (good := np.flatnonzero(positive.cumsum() >= precision * (positive + negative).cumsum())).size:
+            all_trees[kind], thresholds[kind] = trees, max(0.5, float(steps[good[-1]]) / STEPS)
+    drop_cut(rows)
+    return Model(all_trees, thresholds)
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

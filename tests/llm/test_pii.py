@@ -82,6 +82,24 @@ def test_learned_spans_stay_beside_base(spark):
     assert sum(len(r.spans) == 2 for r in rows if r.doc_id >= 5000) > 30
 
 
+def test_all_documents_are_learned_from(spark):
+    rows = people(2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [case for doc, text in rows for case in pii.cases(text, doc)]
+    got = pii.counted(docs).agg({"positive": "sum", "negative": "sum"}).first().asDict()
+    assert (got["sum(positive)"], got["sum(negative)"]) == (sum(c[1] for c in want), sum(1 - c[1] for c in want))
+
+
+def test_trees_are_the_same_summed_by_spark(spark, monkeypatch):
+    monkeypatch.setattr(Boosted.__init__, "__defaults__", (3, 0.3, 1, *Boosted.__init__.__defaults__[3:]))
+    docs = spark.createDataFrame(people(800), "doc_id long, text string")
+    one, two = pii.fit(docs, held=10**9), pii.fit(docs, held=0)
+    assert set(one.trees) == set(two.trees) == set(pii.KINDS) and one.thresholds == two.thresholds
+    for kind in pii.KINDS:
+        for a, b in zip(one.trees[kind].trees, two.trees[kind].trees, strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
 def test_odd_rows(spark):
     odd = odd_docs(spark)
     model = pii.fit(odd)
