@@ -164,6 +164,30 @@ def test_rounds_leave_no_shuffles(spark):
     assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(500)]
 
 
+def test_rounds_of_few_edges_are_one_task_each(spark):
+    sc, chain = spark.sparkContext, list(range(30))
+    random.Random(2).shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *[(1000, 1000 + i) for i in range(90)]]
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    tasks, found = {}, {}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for few in (0, 10**6):
+            group = f"edges{few}"
+            sc.setJobGroup(group, group)
+            found[few] = sorted(map(tuple, components(spark.createDataFrame(edges, "src long, dst long"), few=few).collect()))
+            jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+            tasks[few] = sum(sc.statusTracker().getStageInfo(s).numCompletedTasks for j in jobs for s in j.stageIds if sc.statusTracker().getStageInfo(s))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[10**6] == [(i, 0) for i in range(30)] + [(1000 + i, 1000) for i in range(90)]
+    assert 4 * tasks[10**6] < tasks[0]
+
+
 def test_lines_leave_their_result_only(spark):
     base, begun = words(9, 30), mark()
     docs = [(i, base[:-3] + f"{i:03}") for i in range(200)] + [(1000 + i, words(100 + i, 20)) for i in range(50)]
